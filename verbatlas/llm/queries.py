@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import simhash
-from verbatlas.llm.common import table
+from verbatlas.llm import simhash, toxicity
+from verbatlas.llm.common import held_out, table
+
+
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,7 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op8_simhash_trie": op8_simhash_trie,
 }
 
