@@ -2,7 +2,7 @@
 
 Confirmed toxic documents are the positives, other documents of the learning
 folds, whatever their label, the unlabelled text. With the class prior p and the
-sigmoid loss l, the risk is
+logistic loss l, the risk is
 
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])
 
@@ -75,54 +75,64 @@ def fit(
     unlabelled: Iterable[str | None],
     prior: float,
     steps: int = 300,
-    rate: float = 0.05,
+    rate: float = 0.1,
     decay: float = 1e-4,
     least: int = 2,
+    apart: float = 4.0,
+    purity: float = 0.8,
 ) -> Model:
-    """Adam on the nnPU risk. Features: those of at least ``least`` positives, at most 1 to 50,000 by frequency there."""
+    """Adam on the nnPU risk.
+
+    Features are those of at least ``least`` positives whose share of the positives
+    exceeds that of the unlabelled texts by ``apart`` standard errors, and of whose
+    unlabelled texts, by the class prior, at least ``purity`` are toxic: words that
+    say little, of which long texts gather many, stay out.
+    """
     pos = [document_features(t) for t in positive]
     prior = min(max(prior, 1e-4), 0.9999)
+    start = float(np.log(prior / (1 - prior)))
     seen = Counter(f for d in pos for f in d)
-    names = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= least][:50_000]
-    if not pos or not names:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
+    candidates = {f for f, n in seen.items() if n >= least}
+    rest = [document_features(t) & candidates for t in unlabelled]
+    np_, nu = len(pos), len(rest)
+    if not candidates or not nu:
+        return Model({}, start, prior)
+    there = Counter(f for d in rest for f in d)
+
+    def stands_out(f: str) -> bool:
+        p, u, both = seen[f] / np_, there[f] / nu, (seen[f] + there[f]) / (np_ + nu)
+        return prior * p >= purity * u and p - u > apart * np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu))
+
+    names = sorted(f for f in candidates if stands_out(f))
+    if not names:
+        return Model({}, start, prior)
     index = {f: k for k, f in enumerate(names)}
 
-    def matrix(docs: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray, int]:
-        rows, cols, n = [], [], 0
-        for d in docs:
-            c = [index[f] for f in d if f in index]
-            cols.append(np.array(c, np.int32))
-            rows.append(np.full(len(c), n, np.int32))
-            n += 1
-        return np.concatenate(rows or [np.empty(0, np.int32)]), np.concatenate(cols or [np.empty(0, np.int32)]), n
-
-    pr, pc, np_ = matrix(pos)
-    ur, uc, nu = matrix(document_features(t) for t in unlabelled)
-    if not nu:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
-    w, b = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
+    def matrix(docs: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        cols = [np.array(sorted(index[f] for f in d if f in index), np.int32) for d in docs]
+        return np.repeat(np.arange(len(docs)), [len(c) for c in cols]), np.concatenate(cols)
+
+    (pr, pc), (ur, uc) = matrix(pos), matrix(rest)
+    w, b = np.zeros(len(names)), start
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     sig = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
     for t in range(1, steps + 1):
         gp = np.bincount(pr, w[pc], np_) + b
         gu = np.bincount(ur, w[uc], nu) + b
-        sp, su = sig(gp), sig(gu)  # l(g) = 1 - s, l(-g) = s
-        slope_p, slope_u = sp * (1 - sp) / np_, su * (1 - su) / nu
-        negative = su.mean() - prior * sp.mean()
+        up_p, up_u = sig(gp), sig(gu)  # slopes of l(-g); that of l(g) is this less 1
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         if negative >= 0:
-            dp, du = -2 * prior * slope_p, slope_u
+            dp, du = prior * ((up_p - 1) - up_p) / np_, up_u / nu
         else:
-            dp, du = prior * slope_p, -slope_u
+            dp, du = prior * up_p / np_, -up_u / nu
         g = np.concatenate([np.bincount(pc, dp[pr], len(names)) + np.bincount(uc, du[ur], len(names)) + decay * w, [dp.sum() + du.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    kept = {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}
-    return Model(kept, float(b), prior)
+    return Model({f: float(x) for f, x in zip(names, w, strict=True)}, float(b), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 8000, seed: int = 3) -> Model:
     """Fit on the learning folds of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Null labels and labels without document say nothing; a document counts as
