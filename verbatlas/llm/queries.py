@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import simhash, toxicity
+from verbatlas.llm import lines, simhash, toxicity
 from verbatlas.llm.common import held_out, table
 
 
@@ -15,6 +15,14 @@ def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+LINES = {"ratio": 0.1, "min_pages": 4, "max_loss": 0.8}
+
+
+def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_boilerplate(table(spark, sf_dir, "documents"), site="source", **LINES)
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -22,7 +30,10 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
+    "op4_site_lines": op4_site_lines,
     "op8_simhash_trie": op8_simhash_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_site_lines": lines.SQL.format(**LINES),
+}
