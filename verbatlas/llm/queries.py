@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import lines, simhash, toxicity
+from verbatlas.llm import lines, mixing, simhash, toxicity
 from verbatlas.llm.common import held_out, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
+        F.round("_weight", 9).alias("weight"), F.round("_prob", 9).alias("prob"), F.col("_kept").alias("kept"),
+    )
+
+
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -29,11 +37,13 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op4_site_lines": op4_site_lines,
     "op8_simhash_trie": op8_simhash_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.sql(),
     "op4_site_lines": lines.SQL.format(**LINES),
 }

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,8 +71,8 @@ class Model:
 
 
 def fit(
-    positive: Iterable[str | None],
-    unlabelled: Iterable[str | None],
+    positive: Sequence[str | None],
+    unlabelled: Sequence[str | None],
     prior: float,
     steps: int = 300,
     rate: float = 0.1,
@@ -88,28 +88,29 @@ def fit(
     unlabelled texts, by the class prior, at least ``purity`` are toxic: words that
     say little, of which long texts gather many, stay out.
     """
-    pos = [document_features(t) for t in positive]
     prior = min(max(prior, 1e-4), 0.9999)
     start = float(np.log(prior / (1 - prior)))
-    seen = Counter(f for d in pos for f in d)
-    candidates = {f for f, n in seen.items() if n >= least}
-    rest = [document_features(t) & candidates for t in unlabelled]
-    np_, nu = len(pos), len(rest)
-    if not candidates or not nu:
-        return Model({}, start, prior)
-    there = Counter(f for d in rest for f in d)
+    count = Counter(f for t in positive for f in document_features(t))
+    index = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= least))}
+    del count
 
-    def stands_out(f: str) -> bool:
-        p, u, both = seen[f] / np_, there[f] / nu, (seen[f] + there[f]) / (np_ + nu)
-        return prior * p >= purity * u and p - u > apart * np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu))
+    def rows(texts: Sequence[str | None]) -> list[np.ndarray]:
+        return [np.array(sorted(index[f] for f in document_features(t) if f in index), np.int32) for t in texts]
 
-    names = sorted(f for f in candidates if stands_out(f))
-    if not names:
+    pos, rest = rows(positive), rows(unlabelled)
+    np_, nu = len(pos), len(rest)
+    if not index or not nu:
+        return Model({}, start, prior)
+    seen, there = (np.bincount(np.concatenate(d), minlength=len(index)) for d in (pos, rest))
+    p, u, both = seen / np_, there / nu, (seen + there) / (np_ + nu)
+    good = (prior * p >= purity * u) & (p - u > apart * np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu)))
+    if not good.any():
         return Model({}, start, prior)
-    index = {f: k for k, f in enumerate(names)}
+    names = [f for f, g in zip(index, good, strict=True) if g]
+    code = np.cumsum(good) - 1
 
-    def matrix(docs: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [np.array(sorted(index[f] for f in d if f in index), np.int32) for d in docs]
+    def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        cols = [code[d[good[d]]] for d in docs]
         return np.repeat(np.arange(len(docs)), [len(c) for c in cols]), np.concatenate(cols)
 
     (pr, pc), (ur, uc) = matrix(pos), matrix(rest)
@@ -148,9 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     chosen = marks.where(F.col("toxic") == 1).where(pick("p", max_positive, toxic)).select("doc_id")
     positive = learnable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", F.lit(1).alias("p"))
     unlabelled = learnable.where(pick("u", max_unlabelled, total)).select("doc_id", "text", F.lit(0).alias("p"))
-    rows = positive.union(unlabelled).collect()
-    rows.sort(key=lambda r: (r.p, r.doc_id, r.text or ""))
-    return fit((r.text for r in rows if r.p), (r.text for r in rows if not r.p), toxic / n)
+    rows = positive.union(unlabelled).toArrow()
+    texts, is_positive = rows.column("text"), rows.column("p").to_numpy()
+    order = np.lexsort((rows.column("doc_id").to_numpy(), is_positive))
+    pick_texts = lambda p: texts.take(order[is_positive[order] == p]).to_pylist()
+    return fit(pick_texts(1), pick_texts(0), toxic / n)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
