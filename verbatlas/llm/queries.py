@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import lines, mixing, simhash, toxicity
+from verbatlas.llm import lines, mixing, packing, simhash, toxicity, urls
 from verbatlas.llm.common import held_out, table
 
 
@@ -31,6 +31,26 @@ def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the label with a page's number is bad if it says low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    found = urls.judge(table(spark, sf_dir, "pages"), outcomes)
+    return found.withColumn("bad_rate", F.round("bad_rate", 9)).withColumn("bound", F.round("bound", 9))
+
+
+def byte_bpe() -> str:
+    """Where this machine keeps the public tokenizer's file; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), size=2048, end_id=0)
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,10 +60,13 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op4_site_lines": op4_site_lines,
+    "op5_host_reputation": op5_host_reputation,
+    "op6_packing_gga": op6_packing_gga,
     "op8_simhash_trie": op8_simhash_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op4_site_lines": lines.SQL.format(**LINES),
+    "op5_host_reputation": urls.sql(),
 }
