@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import lines, mixing, packing, simhash, toxicity, urls
+from verbatlas.llm import licenses, lines, mixing, packing, simhash, toxicity, urls
 from verbatlas.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
+
+
 LINES = {"ratio": 0.1, "min_pages": 4, "max_loss": 0.8}
 
 
@@ -63,10 +67,12 @@ QUERIES = {
     "op5_host_reputation": op5_host_reputation,
     "op6_packing_gga": op6_packing_gga,
     "op8_simhash_trie": op8_simhash_trie,
+    "op10_license_diagonals": op10_license_diagonals,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op4_site_lines": lines.SQL.format(**LINES),
     "op5_host_reputation": urls.sql(),
+    "op10_license_diagonals": licenses.sql(),
 }
