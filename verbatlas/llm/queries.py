@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import licenses, lines, mixing, packing, simhash, toxicity, urls
+from verbatlas.llm import language, licenses, lines, mixing, packing, simhash, toxicity, urls
 from verbatlas.llm.common import held_out, table
 
 
@@ -55,6 +55,11 @@ def op6_packing_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), size=2048, end_id=0)
 
 
+def op7_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_site_lines": op4_site_lines,
     "op5_host_reputation": op5_host_reputation,
     "op6_packing_gga": op6_packing_gga,
+    "op7_language_backoff": op7_language_backoff,
     "op8_simhash_trie": op8_simhash_trie,
     "op10_license_diagonals": op10_license_diagonals,
 }
