@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import language, licenses, lines, mixing, packing, simhash, toxicity, urls
+from verbatlas.llm import additive, language, lattice, licenses, lines, mixing, packing, simhash, toxicity, urls
 from verbatlas.llm.common import held_out, table
 
 
@@ -17,12 +17,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
@@ -67,12 +75,14 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_additive_ann": op2_additive_ann,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op4_site_lines": op4_site_lines,
     "op5_host_reputation": op5_host_reputation,
     "op6_packing_gga": op6_packing_gga,
     "op7_language_backoff": op7_language_backoff,
     "op8_simhash_trie": op8_simhash_trie,
+    "op9_lattice_dedup": op9_lattice_dedup,
     "op10_license_diagonals": op10_license_diagonals,
 }
 
