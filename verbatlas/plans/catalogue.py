@@ -2,5 +2,423 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verbatlas.functions import text as T
+from verbatlas.functions.html import html_verses
+from verbatlas.operators import corpus as C
+from verbatlas.operators import lm, validate, zipf
+from verbatlas.sources import pages as P
+
+CHARS = "ɓéñß"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.build_corpus(_docs(spark, sf_dir), keep=("lang",))
+
+
+def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.test_lines(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+# -- queries ----------------------------------------------------------------------
+
+
+def normalize_docs(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+def normalize_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", T.normalize(F.col("html")).alias("normalized"))
+
+
+def sentences(spark, d):
+    return C.split_docs(_docs(spark, d)).select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), "sentence")
+
+
+def _tokens(**how):
+    def run(spark, d):
+        rows = C.tokenize(C.split_docs(_docs(spark, d)), **how)
+        return rows.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), T.joined(F.col("tokens")).alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
+
+    return run
+
+
+def corpus_lines(spark, d):
+    return _corpus(spark, d).select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), T.joined(F.col("tokens")).alias("line"))
+
+
+def corpus_stats(spark, d):
+    found = C.stats(_corpus(spark, d), _docs(spark, d))
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+
+def char_counts(spark, d):
+    return C.char_counts(_corpus(spark, d), CHARS)
+
+
+def token_freq_topk(spark, d):
+    freq = lm.unigram_counts(_corpus(spark, d))
+    return freq.select("token", F.col("cnt").alias("freq")).orderBy(F.desc("freq"), "token").limit(20)
+
+
+def topk_words_no_punct(spark, d):
+    freq = C.token_freq(_corpus(spark, d)).where(F.col("token").rlike(r"\p{L}"))
+    top = freq.orderBy(F.desc("freq"), "doc_id", "sent_id", "pos").limit(20)
+    order = F.row_number().over(zipf_window()).cast("long").alias("rank")
+    return top.select("token", "freq", order, F.round(F.log10("freq"), 6).alias("log_freq"))
+
+
+def zipf_window():
+    from pyspark.sql import Window as W
+
+    return W.orderBy(F.desc("freq"), "doc_id", "sent_id", "pos")
+
+
+def _ranks(spark, d):
+    return zipf.ranks(lm.unigram_counts(_corpus(spark, d)).withColumnRenamed("cnt", "freq"))
+
+
+def zipf_ranks(spark, d):
+    return _ranks(spark, d).select("token", "freq", "rank")
+
+
+def _fit(spark, d, **how):
+    got = zipf.fit(zipf.points(_ranks(spark, d), **how))
+    return got.select(*(F.round(c, 6).alias(c) if c != "n" else F.col(c) for c in got.columns))
+
+
+def zipf_fit(spark, d):
+    return _fit(spark, d)
+
+
+def zipf_fit_untrimmed(spark, d):
+    return _fit(spark, d, trim_head=0, trim_singletons=False)
+
+
+def zipf_plot_points(spark, d):
+    ranked = _ranks(spark, d)
+    kept = zipf.points(ranked)
+    return zipf.plot_points(kept, zipf.fit(kept)).select("rank", "freq", F.round("fit", 4).alias("fit"))
+
+
+def unigram_counts(spark, d):
+    return lm.fit_bigram(_corpus(spark, d)).unigrams
+
+
+def bigram_counts(spark, d):
+    return lm.fit_bigram(_corpus(spark, d)).bigrams
+
+
+def bigram_totals(spark, d):
+    model = lm.fit_bigram(_corpus(spark, d))
+    types = model.bigrams.agg(F.count("*").alias("unique_bigrams"))
+    return model.scalars.crossJoin(types).withColumn("bigram_ttr", F.round(F.col("unique_bigrams") / F.col("total_bigrams"), 9))
+
+
+def bigram_prob(spark, d):
+    pairs = C.bigrams(C.marked(_test(spark, d))).select("w1", "w2").distinct()
+    return lm.bigram_probability(lm.fit_bigram(_corpus(spark, d)), pairs).select("w1", "w2", F.round("p", 12).alias("p"))
+
+
+def bigram_topk(spark, d):
+    corpus = _corpus(spark, d)
+    return lm.top_bigrams(lm.fit_bigram(corpus), corpus, 10).withColumn("p", F.round("p", 9))
+
+
+def unigram_perplexity(spark, d):
+    return lm.unigram_perplexity(lm.unigram_counts(_corpus(spark, d)), _test(spark, d)).withColumn("perplexity", F.round("perplexity", 4))
+
+
+def bigram_perplexity(spark, d):
+    got = lm.bigram_perplexity(lm.fit_bigram(_corpus(spark, d)), _test(spark, d))
+    return got.withColumn("band", lm.band()).withColumn("below_1000", F.col("perplexity") < 1000).withColumn("perplexity", F.round("perplexity", 4))
+
+
+def perplexity_improvement(spark, d):
+    corpus, lines = _corpus(spark, d), _test(spark, d)
+    uni = lm.unigram_perplexity(lm.unigram_counts(corpus), lines).select(F.col("perplexity").alias("unigram"))
+    bi = lm.bigram_perplexity(lm.fit_bigram(corpus), lines).select(F.col("perplexity").alias("bigram"))
+    both = uni.crossJoin(bi).withColumn("improvement", F.round(1 - F.col("bigram") / F.col("unigram"), 6))
+    return both.withColumn("unigram", F.round("unigram", 4)).withColumn("bigram", F.round("bigram", 4))
+
+
+def oov_tokens(spark, d):
+    return lm.oov(lm.unigram_counts(_corpus(spark, d)), _test(spark, d))
+
+
+def oov_rate(spark, d):
+    lines = _test(spark, d)
+    missed = lm.oov(lm.unigram_counts(_corpus(spark, d)), lines).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("oov_tokens"), F.count("*").alias("oov_types"))
+    total = lines.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("test_tokens"))
+    return missed.crossJoin(total).withColumn("oov_rate", F.round(F.col("oov_tokens") / F.col("test_tokens"), 6))
+
+
+def bigram_prob_sums_to_one(spark, d):
+    model = lm.fit_bigram(_corpus(spark, d))
+    seen = model.bigrams.groupBy("w1").agg(F.sum("cnt").alias("followed"), F.count("*").alias("successors"))
+    joined = seen.join(model.unigrams.withColumnRenamed("token", "w1"), "w1").crossJoin(F.broadcast(model.scalars.select("vocab_size")))
+    whole = (F.col("followed") + F.col("vocab_size")) / (F.col("cnt") + F.col("vocab_size"))
+    return joined.select("w1", "successors", F.round(whole, 9).alias("p_sum"))
+
+
+def stopword_share(spark, d):
+    words = _corpus(spark, d).select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    stop = spark.createDataFrame([(w,) for w in dict.fromkeys(T.NUPE)], "token string")
+    rest = words.join(F.broadcast(stop), "token", "left_anti").groupBy("lang").agg(F.sum("n").alias("content"))
+    total = words.groupBy("lang").agg(F.sum("n").alias("tokens"))
+    return total.join(rest, "lang").select("lang", "tokens", (F.col("tokens") - F.col("content")).alias("stop_words"), F.round(1 - F.col("content") / F.col("tokens"), 6).alias("share"))
+
+
+def validate_corpus(spark, d):
+    """Lines of the raw texts, so that some of them fail."""
+    lines = _table(spark, d, "pages").select(F.posexplode(F.split("html", "<", -1)).alias("pos", "value"), "page_id")
+    found = validate.corpus_format(lines.withColumn("line_no", F.struct("page_id", F.col("pos").cast("long").alias("pos"))))
+    return found.select("line_no.*", "problem")
+
+
+def jsonl_schema_check(spark, d):
+    """Records built from documents: ids of several types, some without all keys, some no JSON."""
+    text, n = F.col("text"), F.col("doc_id") % 7
+    quoted = F.to_json(F.struct(F.col("lang").alias("raw_text")))
+    body = F.substring(quoted, 2, 1 << 20)
+    line = (
+        F.when(n == 0, F.concat(F.lit('{"id":'), F.col("doc_id"), F.lit(',"url":"u","date_retrieved":"2026-01-01",'), body))
+        .when(n == 1, F.concat(F.lit('{"id":"x","url":"u","date_retrieved":"2026-01-01",'), body))
+        .when(n == 2, F.concat(F.lit('{"id":true,"url":"u",'), body))
+        .when(n == 3, F.concat(F.lit('{"id":1.5,"url":null,"date_retrieved":3,'), body))
+        .when(n == 4, F.lit("{not json"))
+        .when(n == 5, F.lit("  "))
+        .otherwise(F.concat(F.lit('{"id":null,"more":1,"url":"u","date_retrieved":"d",'), body))
+    )
+    return validate.record_schema(_table(spark, d, "documents").select("doc_id", line.alias("value")), "value", "doc_id")
+
+
+def qa_checks(spark, d):
+    return validate.qa_counts(_corpus(spark, d).select(T.joined(F.col("tokens")).alias("value")))
+
+
+def html_blocks(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.posexplode(html_verses(F.col("html"))).alias("pos", "block"))
+
+
+def verse_clean(spark, d):
+    """Sentences of documents, numbered and marked as scraped verses are, then cleaned."""
+    rows = C.split_docs(_docs(spark, d))
+    raw = F.concat(F.lit(" "), F.col("sent_id"), F.lit(" "), F.regexp_replace("sentence", r"([.?!])", "$1 12"), F.lit("#* A"))
+    return rows.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), T.clean_verse(raw).alias("verse"))
+
+
+def chapter_urls(spark, d):
+    return P.chapter_urls(spark).select("ord", "book", F.col("chapter").cast("long").alias("chapter"), "url")
+
+
+def scrape_records(spark, d):
+    return P.records(P.extract(_table(spark, d, "pages").withColumnRenamed("page_id", "ord")), date="2026-01-01")
+
+
+def scrape_failures(spark, d):
+    return P.failures(P.extract(_table(spark, d, "pages").withColumnRenamed("page_id", "ord")))
+
+
+QUERIES = {
+    "normalize_docs": normalize_docs,
+    "normalize_pages": normalize_pages,
+    "sentences": sentences,
+    "tokens": _tokens(),
+    "tokens_no_punct": _tokens(keep_punctuation=False),
+    "tokens_no_stopwords": _tokens(remove_stopwords=True),
+    "tokens_nupe": _tokens(profile="nupe", remove_stopwords=True),
+    "corpus_lines": corpus_lines,
+    "corpus_stats": corpus_stats,
+    "char_counts": char_counts,
+    "token_freq_topk": token_freq_topk,
+    "topk_words_no_punct": topk_words_no_punct,
+    "zipf_ranks": zipf_ranks,
+    "zipf_fit": zipf_fit,
+    "zipf_fit_untrimmed": zipf_fit_untrimmed,
+    "zipf_plot_points": zipf_plot_points,
+    "unigram_counts": unigram_counts,
+    "bigram_counts": bigram_counts,
+    "bigram_totals": bigram_totals,
+    "bigram_prob": bigram_prob,
+    "bigram_topk": bigram_topk,
+    "unigram_perplexity": unigram_perplexity,
+    "bigram_perplexity": bigram_perplexity,
+    "perplexity_improvement": perplexity_improvement,
+    "oov_tokens": oov_tokens,
+    "oov_rate": oov_rate,
+    "bigram_prob_sums_to_one": bigram_prob_sums_to_one,
+    "stopword_share": stopword_share,
+    "validate_corpus": validate_corpus,
+    "jsonl_schema_check": jsonl_schema_check,
+    "qa_checks": qa_checks,
+    "html_blocks": html_blocks,
+    "verse_clean": verse_clean,
+    "chapter_urls": chapter_urls,
+    "scrape_records": scrape_records,
+    "scrape_failures": scrape_failures,
+}
+
+# -- the same in DuckDB -----------------------------------------------------------
+
+
+def _list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in dict.fromkeys(words))
+
+
+def _norm(x: str) -> str:
+    x = f"regexp_replace(nfc_normalize({x}), '<[^>]+>', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '&[a-zA-Z]+;', ' ', 'g'), '&#\\p{{Nd}}+;', ' ', 'g')"
+    x = f"regexp_replace(translate({x}, chr(13) || chr(9), '  '), '[^\\P{{C}}\\n]', '', 'g')"
+    return f"trim(regexp_replace(translate({x}, '’‘''', 'ʼʼʼ'), ' +', ' ', 'g'), ' ' || chr(10))"
+
+
+def _toks(x: str, keep: bool = True, stop: list[str] | None = None) -> str:
+    marks = r'[.,;:!?()\[\]{}"«»“”„…]'
+    x = f"regexp_replace(lower({_norm(x)}), '\\p{{Nd}}+', ' ', 'g')"
+    x = f"regexp_replace({x}, '({marks})', ' \\1 ', 'g')" if keep else f"regexp_replace({x}, '{marks}', ' ', 'g')"
+    kept = r'.,;:!?()\[\]{}"' if keep else ""
+    x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{Z}}\\n\\-{kept}]', ' ', 'g')"
+    return _split(x, stop)
+
+
+def _split(x: str, stop: list[str] | None = None) -> str:
+    out = f" AND t NOT IN ({_list(stop)})" if stop else ""
+    return f"list_filter(string_split(regexp_replace({x}, '\\s+', ' ', 'g'), ' '), lambda t: t <> '' AND t <> '-'{out})"
+
+
+def _nupe(x: str) -> str:
+    x = f"regexp_replace(lower(nfc_normalize({x})), '<[^>]+>', ' ', 'g')"
+    return _split(f"regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\-ʼ''’]', ' ', 'g')", T.NUPE)
+
+
+_SENT = f"""
+norm AS (SELECT doc_id, lang, {_norm('text')} AS text FROM documents),
+cut AS (
+  SELECT doc_id, lang, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM norm
+),
+sent AS (SELECT doc_id, lang, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_id FROM cut)"""
+_CORPUS = f"""{_SENT},
+corpus AS (SELECT * FROM (SELECT doc_id, lang, sent_id, {_toks('sentence')} AS tokens FROM sent) WHERE len(tokens) >= 3),
+words AS (SELECT doc_id, lang, sent_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM corpus),
+freqs AS (SELECT token, count(*) AS freq FROM words GROUP BY token)"""
+_MODEL = f"""{_CORPUS},
+marked AS (SELECT doc_id, sent_id, list_concat(['<s>'], tokens, ['</s>']) AS tokens FROM corpus),
+mwords AS (SELECT doc_id, sent_id, unnest(tokens) AS w1, generate_subscripts(tokens, 1) - 1 AS pos FROM marked),
+pairs AS (SELECT * FROM (SELECT doc_id, sent_id, pos, w1, lead(w1) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS w2 FROM mwords) WHERE w2 IS NOT NULL),
+uni AS (SELECT w1 AS token, count(*) AS cnt FROM mwords GROUP BY w1),
+bi AS (SELECT w1, w2, count(*) AS cnt FROM pairs GROUP BY w1, w2),
+scalars AS (SELECT count(*) AS vocab_size, CAST(sum(cnt) AS BIGINT) AS total_tokens, CAST(sum(cnt) FILTER (WHERE token = '<s>') AS BIGINT) AS sentence_count FROM uni)"""
+_TEST = f""",
+tl AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM benchmark),
+tt AS (SELECT * FROM (SELECT item_id, no, list_filter(string_split(regexp_replace(lower({_norm('line')}), '\\s+', ' ', 'g'), ' '), lambda t: t <> '') AS tokens FROM tl) WHERE len(tokens) > 0),
+tw AS (SELECT item_id, no, unnest(tokens) AS token FROM tt),
+tm AS (SELECT item_id, no, unnest(list_concat(['<s>'], tokens, ['</s>'])) AS w1, generate_subscripts(list_concat(['<s>'], tokens, ['</s>']), 1) AS pos FROM tt),
+te AS (SELECT w1, w2, count(*) AS n FROM (SELECT w1, lead(w1) OVER (PARTITION BY item_id, no ORDER BY pos) AS w2 FROM tm) WHERE w2 IS NOT NULL GROUP BY w1, w2),
+tp AS (
+  SELECT te.w1, te.w2, n, (coalesce(bi.cnt, 0) + 1) / (coalesce(uni.cnt, 0) + vocab_size)::DOUBLE AS p
+  FROM te LEFT JOIN bi ON te.w1 = bi.w1 AND te.w2 = bi.w2 LEFT JOIN uni ON te.w1 = uni.token, scalars
+),
+up AS (
+  SELECT n, (coalesce(freq, 0) + 1) / (SELECT sum(freq) + count(*) FROM freqs)::DOUBLE AS p
+  FROM (SELECT token, count(*) AS n FROM tw GROUP BY token) LEFT JOIN freqs USING (token)
+),
+biperp AS (SELECT exp(-sum(n * ln(p)) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT) AS events FROM tp),
+uniperp AS (SELECT exp(-sum(n * ln(p)) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT) AS events FROM up)"""
+_RANKED = f"""{_CORPUS},
+ranked AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM freqs),
+trimmed AS (SELECT * FROM ranked WHERE rank > 5 AND freq > 1),
+kept AS (SELECT * FROM trimmed WHERE (SELECT count(*) FROM trimmed) >= 10 UNION ALL SELECT * FROM ranked WHERE (SELECT count(*) FROM trimmed) < 10)"""
+
+
+def _fit_sql(rows: str) -> str:
+    flat = "min(freq) = max(freq)"
+    return (
+        f"SELECT CASE WHEN {flat} THEN 0 ELSE -regr_slope(log10(freq), log10(rank)) END AS s, CASE WHEN {flat} THEN 0 ELSE regr_r2(log10(freq), log10(rank)) END AS r2, "
+        f"CASE WHEN {flat} THEN log10(max(freq)) ELSE regr_intercept(log10(freq), log10(rank)) END AS intercept, count(*) AS n FROM {rows}"
+    )
+
+
+def _fit_rounded(rows: str) -> str:
+    return f"WITH {_RANKED} SELECT round(s, 6) AS s, round(r2, 6) AS r2, round(intercept, 6) AS intercept, n FROM ({_fit_sql(rows)})"
+
+
+def _tokens_sql(tokens: str) -> str:
+    return f"WITH {_SENT} SELECT doc_id, sent_id, array_to_string(tokens, ' ') AS tokens, len(tokens) AS n_tokens FROM (SELECT doc_id, sent_id, {tokens} AS tokens FROM sent)"
+
+
+_PROBLEMS = {
+    "multiple consecutive spaces": "list_contains(string_split(value, ' '), '')",
+    "leading space": "starts_with(value, ' ')",
+    "trailing space": "ends_with(value, ' ')",
+    "tab character": "contains(value, chr(9))",
+    "carriage return": "contains(value, chr(13))",
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "normalize_docs": f"SELECT doc_id, {_norm('text')} AS normalized FROM documents",
+    "normalize_pages": f"SELECT page_id, {_norm('html')} AS normalized FROM pages",
+    "sentences": f"WITH {_SENT} SELECT doc_id, sent_id, sentence FROM sent",
+    "tokens": _tokens_sql(_toks("sentence")),
+    "tokens_no_punct": _tokens_sql(_toks("sentence", keep=False)),
+    "tokens_no_stopwords": _tokens_sql(_toks("sentence", stop=T.GBAGYI_MODULE)),
+    "tokens_nupe": _tokens_sql(_nupe("sentence")),
+    "corpus_lines": f"WITH {_CORPUS} SELECT doc_id, sent_id, array_to_string(tokens, ' ') AS line FROM corpus",
+    "corpus_stats": f"""WITH {_CORPUS}
+SELECT lang, documents, sentences, total_tokens, vocabulary_size, n_chars, round(vocabulary_size / total_tokens, 6) AS ttr,
+       round(total_tokens / sentences, 6) AS tokens_per_sentence, round(n_chars / documents, 6) AS chars_per_document
+FROM (SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY lang)
+JOIN (SELECT lang, count(*) AS sentences, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM corpus GROUP BY lang) USING (lang)
+JOIN (SELECT lang, count(DISTINCT token) AS vocabulary_size FROM words GROUP BY lang) USING (lang)""",
+    "char_counts": f"""WITH {_CORPUS}, chars(ch) AS (VALUES {', '.join(f"('{c}')" for c in CHARS)})
+SELECT ch, CAST(sum(length(line) - length(replace(line, ch, ''))) AS BIGINT) AS occurrences FROM chars, (SELECT array_to_string(tokens, ' ') AS line FROM corpus) GROUP BY ch""",
+    "token_freq_topk": f"WITH {_CORPUS} SELECT token, freq FROM freqs ORDER BY freq DESC, token LIMIT 20",
+    "topk_words_no_punct": f"""WITH {_CORPUS}, firsts AS (
+  SELECT token, count(*) AS freq, min((doc_id, sent_id, pos)) AS first FROM words WHERE regexp_matches(token, '\\p{{L}}') GROUP BY token)
+SELECT token, freq, row_number() OVER (ORDER BY freq DESC, first) AS rank, round(log10(freq), 6) AS log_freq FROM firsts ORDER BY freq DESC, first LIMIT 20""",
+    "zipf_ranks": f"WITH {_RANKED} SELECT token, freq, rank FROM ranked",
+    "zipf_fit": _fit_rounded("kept"),
+    "zipf_fit_untrimmed": _fit_rounded("ranked"),
+    "zipf_plot_points": f"WITH {_RANKED}, fitted AS ({_fit_sql('kept')}) SELECT rank, freq, round(pow(10, intercept - s * log10(rank)), 4) AS fit FROM kept, fitted",
+    "unigram_counts": f"WITH {_MODEL} SELECT token, cnt FROM uni",
+    "bigram_counts": f"WITH {_MODEL} SELECT w1, w2, cnt FROM bi",
+    "bigram_totals": f"""WITH {_MODEL} SELECT vocab_size, total_tokens, sentence_count, total_tokens - sentence_count AS total_bigrams, unique_bigrams,
+  round(unique_bigrams / (total_tokens - sentence_count), 9) AS bigram_ttr FROM scalars, (SELECT count(*) AS unique_bigrams FROM bi)""",
+    "bigram_prob": f"WITH {_MODEL}{_TEST} SELECT w1, w2, round(p, 12) AS p FROM tp",
+    "bigram_topk": f"""WITH {_MODEL}, top AS (SELECT w1, w2, count(*) AS cnt, min((doc_id, sent_id, pos)) AS first FROM pairs GROUP BY w1, w2 ORDER BY cnt DESC, first LIMIT 10)
+SELECT w1, w2, top.cnt, round((top.cnt + 1) / (uni.cnt + vocab_size)::DOUBLE, 9) AS p FROM top JOIN uni ON w1 = token, scalars""",
+    "unigram_perplexity": f"WITH {_MODEL}{_TEST} SELECT round(perplexity, 4) AS perplexity, events FROM uniperp",
+    "bigram_perplexity": f"""WITH {_MODEL}{_TEST} SELECT round(perplexity, 4) AS perplexity, events,
+  CASE WHEN perplexity < 100 THEN 'good' WHEN perplexity <= 500 THEN 'fair' ELSE 'poor' END AS band, perplexity < 1000 AS below_1000 FROM biperp""",
+    "perplexity_improvement": f"""WITH {_MODEL}{_TEST} SELECT round(u.perplexity, 4) AS unigram, round(b.perplexity, 4) AS bigram,
+  round(1 - b.perplexity / u.perplexity, 6) AS improvement FROM uniperp u, biperp b""",
+    "oov_tokens": f"WITH {_MODEL}{_TEST} SELECT token, count(*) AS n FROM tw WHERE token NOT IN (SELECT token FROM freqs) GROUP BY token",
+    "oov_rate": f"""WITH {_MODEL}{_TEST}, missed AS (SELECT token FROM tw WHERE token NOT IN (SELECT token FROM freqs))
+SELECT oov_tokens, oov_types, test_tokens, round(oov_tokens / test_tokens, 6) AS oov_rate FROM
+  (SELECT count(*) AS oov_tokens, count(DISTINCT token) AS oov_types FROM missed), (SELECT count(*) AS test_tokens FROM tw)""",
+    "bigram_prob_sums_to_one": f"""WITH {_MODEL} SELECT w1, successors, round((followed + vocab_size) / (uni.cnt + vocab_size)::DOUBLE, 9) AS p_sum
+FROM (SELECT w1, sum(cnt) AS followed, count(*) AS successors FROM bi GROUP BY w1) JOIN uni ON w1 = token, scalars""",
+    "stopword_share": f"""WITH {_CORPUS} SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE token IN ({_list(T.NUPE)})) AS stop_words,
+  round(1 - count(*) FILTER (WHERE token NOT IN ({_list(T.NUPE)})) / count(*), 6) AS share FROM words GROUP BY lang""",
+    "validate_corpus": "WITH lines AS (SELECT page_id, unnest(string_split(html, '<')) AS value, generate_subscripts(string_split(html, '<'), 1) - 1 AS pos FROM pages) "
+    + " UNION ALL ".join(f"SELECT page_id, pos, '{name}' AS problem FROM lines WHERE value <> '' AND {test}" for name, test in _PROBLEMS.items()),
+    "jsonl_schema_check": """
+SELECT doc_id, unnest(CASE doc_id % 7 WHEN 1 THEN ['wrong type: id'] WHEN 2 THEN ['missing key: date_retrieved']
+  WHEN 3 THEN ['wrong type: id', 'wrong type: url', 'wrong type: date_retrieved'] WHEN 4 THEN ['invalid JSON object'] WHEN 6 THEN ['wrong type: id'] ELSE [] END) AS problem FROM documents""",
+    "qa_checks": f"WITH {_CORPUS}, lines AS (SELECT array_to_string(tokens, ' ') AS value FROM corpus) "
+    + " UNION ALL ".join(f"""SELECT '{k}' AS "check", count(*) FILTER (WHERE regexp_matches(value, '{p}')) AS lines FROM lines""" for k, p in validate.QA.items()),
+    "verse_clean": f"""WITH {_SENT}, raw AS (SELECT doc_id, sent_id, ' ' || sent_id || ' ' || regexp_replace(sentence, '([.?!])', '\\1 12', 'g') || '#* A' AS v FROM sent)
+SELECT doc_id, sent_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '^\\s*\\p{{Nd}}+\\s*', ''), '([.?!])\\s*\\p{{Nd}}+([A-ZƁ])', '\\1 \\2', 'g'), '[#*]+', ' ', 'g'), '\\s+', ' ', 'g')) AS verse FROM raw""",
+    "chapter_urls": f"""WITH books(i, book, n) AS (VALUES {', '.join(f"({i}, '{b}', {n})" for i, (b, n) in enumerate(P.BOOKS))})
+SELECT row_number() OVER (ORDER BY i, chapter) AS ord, book, chapter, printf('{P.ADDRESS}', book, chapter) AS url FROM (SELECT i, book, unnest(generate_series(1, n)) AS chapter FROM books)""",
+}
