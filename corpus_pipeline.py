@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import lines, mixing, packing, simhash, toxicity
+from verbatlas.llm import lines, mixing, near_copies, packing, toxicity
 from verbatlas.llm.common import materialise, table
 from verbatlas.llm.queries import LINES, byte_bpe
 
@@ -31,8 +31,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies: the one with the smallest id."""
-    found = simhash.near_duplicates(docs, words=5)
+    """Keeps one document of each class of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    found = near_copies.near_copies(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
