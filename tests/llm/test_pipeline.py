@@ -1,0 +1,75 @@
+"""The stages against plain Python on a small folder of tables."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+
+BAD = ["gronk" + s for s in "a be ci do elu".split()]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = np.random.default_rng(9)
+    vocab = [f"{a}{b}" for a in "lamo riten sovu kelba purt dresi vanto".split() for b in "an er il os um ix ta re".split()]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(vocab, int(rng.integers(60, 140))))
+        toxic = rng.random() < 0.12
+        if toxic:
+            words[5:5] = list(rng.choice(BAD, 4))
+        text = " ".join(words)
+        if i % 3 == 0:
+            text = f"Site navigation line\n{text}"
+        rows.append((i, text, "en" if i % 4 else "de", f"src{i % 3}", len(text)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    clean = [r for r in rows if "gronk" not in r[1]]
+    rows += [(2000 + k, clean[k][1], "en", "src1", clean[k][4]) for k in range(40)]  # exact copies
+    for k in range(40, 80):  # near copies: one word of about a hundred
+        words = clean[k][1].split(" ")
+        words[-3] = "edited"
+        rows.append((2000 + k, " ".join(words), "en", "src1", 0))
+    rows += [(3000, None, None, None, None), (3001, "", "en", "src0", 0)]
+    path = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), {r[0]: r for r in rows}, spark
+
+
+def test_stages(folder):
+    path, rows, spark = folder
+    docs, before = spark.read.parquet(f"{path}/documents.parquet"), None
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        docs.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+        assert before is None or set(kept[name]) <= set(before)
+        before = kept[name]
+    toxic = {i for i, r in rows.items() if r[1] and "gronk" in r[1]}
+    out = set(rows) - set(kept["toxicity"])
+    assert len(out & toxic) >= 0.97 * len(toxic) and not out - toxic
+    lined = kept["line_dedup"]
+    assert set(lined) == set(kept["toxicity"])
+    assert not any("Site navigation" in (r.text or "") for r in lined.values() if r.source == "src0")
+    assert all(r.n_chars == len(r.text) for r in lined.values() if rows[r.doc_id][1] != r.text)
+    one = kept["simhash_near_dedup"]
+    copies = [i for i in range(2000, 2040) if i in one]
+    near = [i for i in range(2040, 2080) if i in one]
+    assert not copies and len(near) <= 4
+    lost = set(lined) - set(one)
+    assert {i for i in lost if i < 2000} == set() and 3000 in one and 3001 not in one
+    tokens = lambda ids: sum(len((one[i].text or "").split()) for i in ids)
+    assert tokens(kept["mixing"]) == pytest.approx(0.5 * tokens(one), rel=0.2)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+    assert {r.doc_id for r in packed} == set(kept["mixing"])
+
+
+def test_run_is_the_chain_of_the_stages(folder):
+    path, _, spark = folder
+    found = corpus_pipeline.run(spark, path)
+    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert found.count() > 100
