@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 _LOCAL: dict[str, str] = {}
 
@@ -52,6 +52,24 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+class Forest:
+    """Components of numbers 0..n-1; ``root`` is always the smallest of each."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            x, y = self.root[i], self.root[j]
+            apart = x != y
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns labels from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

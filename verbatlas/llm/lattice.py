@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import connected_components, materialise
-from verbatlas.llm.simhash import forest
+from verbatlas.llm.common import Forest, connected_components, materialise
 
 
 @dataclass(frozen=True)
@@ -176,55 +175,48 @@ def _pairs(unit: np.ndarray, low: int = 48, step: int = 1 << 16) -> Iterator[tup
         at = end
 
 
+def _near(x: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of rows of one unit at cosine ``threshold`` or more, some at a time."""
+    for a, b in _pairs(unit):
+        if isinstance(a, int):
+            for s in range(a, b, 512):
+                i, j = np.nonzero(x[s : min(s + 512, b)] @ x[a:b].T >= threshold)
+                up = i + s < j + a
+                yield i[up] + s, j[up] + a
+        else:
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+            yield a[near], b[near]
+
+
 def _verify(threshold: float, how: Lattice):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.lexsort((rows.column("rep").to_numpy(), rows.column("unit").to_numpy()))))
         unit, key, rep, home, block, weight = (rows.column(c).to_numpy() for c in ("unit", "key", "rep", "home", "block", "weight"))
         own = rows.column("own").to_numpy()  # the unit joins a block with itself
         x = _unit(_matrix(rows.column("vector")))
-        found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in _pairs(unit):
-            if isinstance(a, int):
-                for s in range(a, b, 1024):
-                    i, j = np.nonzero(x[s : min(s + 1024, b)] @ x[a:b].T >= threshold)
-                    i, j = i + s, j + a
-                    up = i < j
-                    found_i.append(i[up])
-                    found_j.append(j[up])
-            else:
-                near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                found_i.append(a[near])
-                found_j.append(b[near])
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
-        ok = (home[i] | home[j]) & (own[i] | (block[i] != block[j]))
-        i, j = i[ok], j[ok]
-        root = forest(len(rep), iter([(i, j)]))
-        moved = np.flatnonzero(root != np.arange(len(rep)))
-        links = np.zeros(len(rep))
-        if len(i):
-            who, first = np.unique(rep, return_index=True)
-            code = np.searchsorted(who, rep)
-            need = np.zeros(len(who), bool)
-            need[code[i]] = need[code[j]] = True
-            place = np.cumsum(need) - 1
-            every = cells(x[first[need]], how)
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                a, b = every[place[code[p]]], every[place[code[q]]]
+        _, first, code = np.unique(rep, return_index=True, return_inverse=True)
+        every = cells(x[first], how)
+        links, tree = np.zeros(len(first)), Forest(len(rep))
+        for i, j in _near(x, unit, threshold):
+            ok = (home[i] | home[j]) & (own[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            tree.link(i, j)
+            for at in range(0, len(i), 1 << 15):
+                p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                a, b = every[code[p]], every[code[q]]
                 meets = np.stack([(b == a[:, :, :1]).any(axis=2), (a == b[:, :, :1]).any(axis=2)])
                 table = meets.any(axis=0).argmax(axis=1)  # the first table where the two meet
                 k = np.arange(len(p))
                 none = np.uint64(np.iinfo(np.uint64).max)
                 event = np.minimum(np.where(meets[0, k, table], a[k, table, 0], none), np.where(meets[1, k, table], b[k, table, 0], none))
                 here = event == key[p].view(np.uint64)
-                np.add.at(links, p[here], weight[q[here]])
-                np.add.at(links, q[here], weight[p[here]])
+                links += np.bincount(code[p[here]], weight[q[here]], len(links)) + np.bincount(code[q[here]], weight[p[here]], len(links))
+        moved = np.flatnonzero(tree.root != np.arange(len(rep)))
         hit = np.flatnonzero(links)
-        out = np.concatenate([moved, hit])
         return pa.table(
             {
-                "rep": pa.array(rep[out], pa.int64()),
-                "other": pa.array(np.concatenate([rep[root[moved]], rep[hit]]), pa.int64()),
+                "rep": pa.array(np.concatenate([rep[moved], rep[first[hit]]]), pa.int64()),
+                "other": pa.array(np.concatenate([rep[tree.root[moved]], rep[first[hit]]]), pa.int64()),
                 "links": pa.array(np.concatenate([np.zeros(len(moved)), links[hit]]).astype(np.int64), pa.int64()),
             }
         )

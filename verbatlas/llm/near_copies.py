@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import connected_components, materialise
+from verbatlas.llm.common import Forest, connected_components, materialise
 from verbatlas.llm.lattice import _mix
 from verbatlas.llm.simhash import _BITS, _PLACE, TOP, Trie, shingle_hashes, similar
 
@@ -99,24 +99,6 @@ def table_keys(reps: DataFrame, how: Tables) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "tab int, key long, rep long, sig binary")
 
 
-class Forest:
-    """Components of numbers 0..n-1; ``root`` is always the smallest of each."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            x, y = self.root[i], self.root[j]
-            apart = x != y
-            if not apart.any():
-                return
-            i, j = i[apart], j[apart]
-            np.minimum.at(self.root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-            while not np.array_equal(up := self.root[self.root], self.root):
-                self.root = up
-
-
 def link_unit(key: np.ndarray, sig: np.ndarray, side: np.ndarray, budget: int, most: int, step: int = 1 << 16) -> np.ndarray:
     """Roots of the rows of one work unit; sides 0 and 1 are joined, or side 2 with itself."""
     forest = Forest(len(key))
