@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.common import Forest, connected_components, materialise
@@ -164,14 +164,18 @@ def _join_leaves(how: Tables):
     return run
 
 
+def _frame(spark: SparkSession, rows: np.ndarray, *names: str) -> DataFrame:
+    return spark.createDataFrame(pa.table({n: pa.array(c.astype(np.int32)) for n, c in zip(names, rows, strict=True)}))
+
+
 def links(reps: DataFrame, how: Tables) -> DataFrame:
     """Edges (src, dst) of ``reps(rep, sig)`` that span the components of the near copies found."""
     spark = reps.sparkSession
     keys = table_keys(reps, how)
     top = F.shiftrightunsigned("key", 64 - TOP).cast("int")
     counts = np.zeros((how.tables, 1 << TOP), np.int64)
-    for r in keys.groupBy("tab", top.alias("p")).agg(F.count("*").alias("n")).collect():  # 4096 rows a table at most
-        counts[r["tab"], r["p"]] = r["n"]
+    got = keys.groupBy("tab", top.alias("p")).agg(F.count("*").alias("n")).toArrow()  # 4096 rows a table at most
+    counts[got.column("tab").to_numpy(), got.column("p").to_numpy()] = got.column("n").to_numpy()
     place, units, chunk, unit = [], [], 0, 0
     for t in range(how.tables):
         size = max(how.leaf_size, int(counts[t].sum()) // 512)
@@ -181,7 +185,8 @@ def links(reps: DataFrame, how: Tables) -> DataFrame:
         for n in sorted({n for p in pairs for n in p}):
             chunks = -(-trie.size(n) // size)
             first[n] = (chunk, chunks)
-            place += [(t, (n[1] << (TOP - n[0])) + k, chunk, chunks) for k in range(1 << (TOP - n[0]))]
+            span = np.arange(n[1] << (TOP - n[0]), (n[1] + 1) << (TOP - n[0]))
+            place.append(np.stack([np.full_like(span, t), span, np.full_like(span, chunk), np.full_like(span, chunks)]))
             chunk += chunks
         for a, b in pairs:
             for i in range(first[a][1]):
@@ -191,8 +196,8 @@ def links(reps: DataFrame, how: Tables) -> DataFrame:
                     unit += 1
     if not units:
         return spark.createDataFrame([], "src long, dst long")
-    places = spark.createDataFrame(place, "tab int, p int, first int, chunks int")
-    where = spark.createDataFrame(units, "chunk int, unit int, side int")
+    places = _frame(spark, np.concatenate(place, axis=1), "tab", "p", "first", "chunks")
+    where = _frame(spark, np.array(units).T, "chunk", "unit", "side")
     dealt = (
         keys.withColumn("p", top)
         .join(F.broadcast(places), ["tab", "p"])

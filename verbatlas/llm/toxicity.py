@@ -90,9 +90,12 @@ def fit(
     """
     prior = min(max(prior, 1e-4), 0.9999)
     start = float(np.log(prior / (1 - prior)))
-    count = Counter(f for t in positive for f in document_features(t))
+    slots = np.zeros(1 << 22, np.int32)  # counts by hash: most features are of one text and never kept as strings
+    for t in positive:
+        slots[np.unique([hash(f) & 0x3FFFFF for f in document_features(t)] or [0])] += 1
+    count = Counter(f for t in positive for f in document_features(t) if slots[hash(f) & 0x3FFFFF] >= least)
     index = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= least))}
-    del count
+    del count, slots
 
     def rows(texts: Sequence[str | None]) -> list[np.ndarray]:
         return [np.array(sorted(index[f] for f in document_features(t) if f in index), np.int32) for t in texts]
@@ -133,6 +136,19 @@ def fit(
     return Model({f: float(x) for f, x in zip(names, w, strict=True)}, float(b), prior)
 
 
+class _Texts(Sequence):
+    """Texts of an Arrow column, made into strings one at a time."""
+
+    def __init__(self, column: pa.ChunkedArray, places: np.ndarray):
+        self.column, self.places = column, places.tolist()
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, k: int) -> str | None:
+        return self.column[self.places[k]].as_py()
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 8000, seed: int = 3) -> Model:
     """Fit on the learning folds of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
@@ -152,8 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     rows = positive.union(unlabelled).toArrow()
     texts, is_positive = rows.column("text"), rows.column("p").to_numpy()
     order = np.lexsort((rows.column("doc_id").to_numpy(), is_positive))
-    pick_texts = lambda p: texts.take(order[is_positive[order] == p]).to_pylist()
-    return fit(pick_texts(1), pick_texts(0), toxic / n)
+    model = fit(*(_Texts(texts, order[is_positive[order] == p]) for p in (1, 0)), toxic / n)
+    del rows, texts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
