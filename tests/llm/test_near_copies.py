@@ -60,3 +60,50 @@ def test_recall_and_precision_by_similarity(spark):
     assert len(high) > 60 and np.mean(high) > 0.95
     assert len(low) > 20 and not any(low)
     assert near_copies.near_copies(docs.where("false")).collect() == []
+
+
+def spread_pairs(rng, similarities, each):
+    """Texts in pairs whose five-word shingles have about the given similarity: one run of words in each is its own."""
+    texts = []
+    for j in similarities:
+        for _ in range(each):
+            words = [f"v{k}" for k in rng.integers(0, 1 << 40, 304)]
+            n = round(300 * (1 - j) / (1 + j))
+            own = lambda: [f"v{k}" for k in rng.integers(0, 1 << 40, max(1, n - 4))]  # noqa: E731, B023
+            at = int(rng.integers(5, 290 - n))
+            texts += [" ".join(words[:at] + own() + words[at + max(1, n - 4) :]) for _ in range(2)]
+    return texts
+
+
+def test_links_are_the_pairs_of_exact_similarity(spark):
+    texts = spread_pairs(np.random.default_rng(2), np.linspace(0.65, 0.9, 26), 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    exact = np.array([jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)])
+    linked = np.array([by[i] == by[i + 1] for i in range(0, len(texts), 2)])
+    assert not linked[exact < 0.8].any()
+    assert (exact >= 0.8).sum() > 150 and linked[exact >= 0.8].mean() > 0.97
+    just = (exact >= 0.8) & (exact < 0.83)
+    assert just.sum() > 30 and linked[just].mean() > 0.93
+
+
+def test_blocks_of_a_large_component_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    words = [f"v{k}" for k in range(200)]
+    texts = []
+    for _ in range(120):
+        other = words.copy()
+        for k in rng.choice(200, int(rng.integers(1, 14)), replace=False):
+            other[k] = f"e{rng.integers(1 << 40)}"
+        texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    for how in (near_copies.Tables(), near_copies.Tables(block_rows=20)):
+        by = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, how).collect()}
+        assert [by[i] for i in range(120)] == root
+    assert 1 < len(set(root)) < 120

@@ -1,17 +1,21 @@
-"""Near copies at a given similarity: the trie self-join of ``simhash`` over several tables.
+"""Near copies at a given similarity: the trie self-join of ``simhash`` over several tables, then exact Jaccard.
 
 A single 64-bit fingerprint at 3 bits finds pairs that differ in a few shingles of
 a hundred. To reach pairs of Jaccard similarity 0.8, whose fingerprints differ in
 about 15 % of all bits, every text gets a SimHash signature of 256 bits over its
-set of shingles; each table takes 40 of them, in an order of its own, as the key
-of a binary trie that is joined with itself at 3 bits. Key pairs that meet are
-verified on the whole signature, which estimates the similarity.
+set of shingles; each table takes 28 of them, in an order of its own, as the key
+of a binary trie that is joined with itself at 2 bits. Key pairs that meet are
+candidates if their whole signatures differ in no more bits than hardly any pair
+at the similarity does. Candidates decide nothing: within each component of them
+the whole shingle sets of the texts are compared, and only pairs at the
+similarity or above are links.
 
 The trie is dealt out as in ``simhash``: the driver walks pairs of nodes of the
-counted upper levels. There at most one bit may differ, which costs a tenth of the
-pairs of one table at most (other tables find them) and keeps a row's copies at
+counted upper levels. There at most one bit may differ, which costs some of the
+pairs of one table (other tables find them) and keeps a row's copies at
 one more than the depth of its leaf. A task returns spanning forests only, and skips pairs that
-are connected already, so a dense group costs little more than its size.
+are connected already, so a dense group costs little more than its size. A large
+component is cut into blocks, each pair of which is a work unit.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +37,27 @@ from verbatlas.llm.simhash import _BITS, _PLACE, TOP, Trie, shingle_hashes, simi
 
 @dataclass(frozen=True)
 class Tables:
-    """``slack``: bits of the signature that may differ beyond what ``similarity`` has on average, as a share."""
+    """``slack``: bits of the signature by which candidates may differ beyond what ``similarity`` has on average, as a share.
+
+    It is about four standard deviations. ``block_rows``, ``block_shingles``: what a block of a large component holds.
+    """
 
     words: int = 5
     similarity: float = 0.8
-    tables: int = 16
-    bits: int = 40
-    budget: int = 3
+    tables: int = 32
+    bits: int = 28
+    budget: int = 2
     top_budget: int = 1
-    slack: float = 0.01
+    slack: float = 0.085
     leaf_size: int = 1 << 19
-    least_depth: int = 1
+    least_depth: int = 0
     seed: int = 6
+    block_rows: int = 1024
+    block_shingles: int = 1 << 21
 
     @property
     def most(self) -> int:
-        """Differing signature bits up to which two texts are near copies."""
+        """Differing signature bits up to which two texts are candidates."""
         cosine = 2 * self.similarity / (1 + self.similarity)
         return int(256 * (math.acos(cosine) / math.pi + self.slack))
 
@@ -56,9 +66,13 @@ class Tables:
         return np.stack([rng.permutation(256)[: self.bits] for _ in range(self.tables)])
 
 
-def signature(text: bytes | None, words: int) -> bytes:
-    """256 SimHash bits of the set of shingles; all zero without any word."""
-    h = np.unique(shingle_hashes(text or b"", words))
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The hashes of the distinct shingles, in order."""
+    return np.unique(shingle_hashes(text or b"", words))
+
+
+def sign(h: np.ndarray) -> bytes:
+    """256 SimHash bits of a set of shingles; all zero for the empty set."""
     if not len(h):
         return bytes(32)
     out = []
@@ -70,11 +84,17 @@ def signature(text: bytes | None, words: int) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, rep, sig, n) of every row: ``rep`` is a hash of the whole set of shingles, ``n`` its size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(t.as_py(), words) for t in b.column(1)], pa.binary())], ["doc_id", "sig"])
+            rows = [(xxhash.xxh64_intdigest(h.tobytes()), sign(h), len(h)) for t in b.column(2) for h in [shingle_set(t.as_py(), words)]]
+            rep, sig, n = zip(*rows, strict=True) if rows else ((), (), ())
+            rep = pa.array(np.array(rep, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rep, pa.array(sig, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "text_key", "rep", "sig", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, rep long, sig binary, n long")
 
 
 def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -169,7 +189,7 @@ def _frame(spark: SparkSession, rows: np.ndarray, *names: str) -> DataFrame:
 
 
 def links(reps: DataFrame, how: Tables) -> DataFrame:
-    """Edges (src, dst) of ``reps(rep, sig)`` that span the components of the near copies found."""
+    """Edges (src, dst) of ``reps(rep, sig)`` that span the components of the candidates found."""
     spark = reps.sparkSession
     keys = table_keys(reps, how)
     top = F.shiftrightunsigned("key", 64 - TOP).cast("int")
@@ -208,6 +228,91 @@ def links(reps: DataFrame, how: Tables) -> DataFrame:
     return dealt.groupBy("unit").applyInArrow(_join_leaves(how), "src long, dst long")
 
 
+def verify_unit(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float) -> np.ndarray:
+    """Roots of the rows of one work unit over pairs of exact similarity; sides 0 and 1 are joined, or side 2 with itself.
+
+    Every pair within ``most`` bits is compared by its whole sets unless it is connected already.
+    """
+    forest = Forest(len(sets))
+    sizes = np.array([len(h) for h in sets], np.int64)
+    second = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side != 1):
+        y = second if side[x] == 0 else np.arange(x + 1, len(sets))
+        y = y[forest.root[y] != forest.root[x]]
+        y = y[np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]) - 1e-6]
+        apart = np.bitwise_count(sig[y] ^ sig[x]).sum(axis=-1, dtype=np.int32)
+        y = y[np.argsort(apart, kind="stable")[: int((apart <= most).sum())]]
+        some = 8  # the nearest first: one link connects a row with all of a dense group
+        while len(y):
+            now, y = y[:some], y[some:]
+            each = np.concatenate([sets[k] for k in now])
+            found = sets[x][np.minimum(np.searchsorted(sets[x], each), sizes[x] - 1)] == each
+            both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+            ok = now[both / (sizes[x] + sizes[now] - both) >= similarity]
+            if len(ok):
+                forest.link(np.full(len(ok), x), ok)
+                y = y[forest.root[y] != forest.root[x]]
+            some = min(2 * some, 256)
+    return forest.root
+
+
+def _verify(how: Tables):
+    def run(rows: pa.Table) -> pa.Table:
+        unit = rows.column("unit").to_numpy()
+        rep = rows.column("rep").to_numpy()
+        order = np.lexsort((rep, unit))
+        unit, rep, side = unit[order], rep[order], rows.column("side").to_numpy()[order]
+        sig = np.ascontiguousarray(_bytes(rows.column("sig"))).view(np.uint64)[order]
+        held = rows.column("shingles")
+        src, dst = [rep[:0]], [rep[:0]]
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(unit)], strict=True):
+            sets = [np.frombuffer(held[int(k)].as_py(), np.uint64) for k in order[a:b]]
+            root = verify_unit(sig[a:b], sets, side[a:b], how.most, how.similarity)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            src.append(rep[a:b][moved])
+            dst.append(rep[a:b][root[moved]])
+        return pa.table({"src": pa.array(np.concatenate(src), pa.int64()), "dst": pa.array(np.concatenate(dst), pa.int64())})
+
+    return run
+
+
+def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Tables) -> DataFrame:
+    """Edges (src, dst) that span the pairs of exact similarity within each component of ``candidates(node, component)``.
+
+    A component of more rows or shingles than a block holds is cut into blocks by
+    a hash, and each pair of blocks is a unit; small components share buckets.
+    """
+    members = materialise(
+        reps.join(candidates, F.col("rep") == F.col("node")).select("rep", "text_key", "sig", "n", "component"), "candidates"
+    )
+    parts = F.greatest(F.ceil(F.count("*") / how.block_rows), F.ceil(F.sum("n") / how.block_shingles)).cast("int")
+    large = members.groupBy("component").agg(parts.alias("blocks")).where("blocks > 1")
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, total * 4 // how.block_shingles)
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = pa.array([shingle_set(t.as_py(), how.words).tobytes() for t in b.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], held], ["rep", "sig", "component", "shingles"])
+
+    whole = members.join(texts, "text_key").select(F.col("text").cast("binary").alias("text"), "rep", "sig", "component")
+    whole = whole.mapInArrow(sets, "rep long, sig binary, component long, shingles binary")
+    block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (
+        whole.join(large, "component", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", block)
+        .withColumn("other", other)
+        .withColumn("unit", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+        .withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1))
+        .withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod("unit", F.lit(buckets))).otherwise(F.col("unit")))
+        .select("bucket", "unit", "side", "rep", "sig", "shingles")
+    )
+    return dealt.groupBy("bucket").applyInArrow(_verify(how), "src long, dst long")
+
+
 def near_copies(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
     """doc_id and component_id (smallest doc_id of the class of near copies) of every row of ``docs``.
 
@@ -216,7 +321,8 @@ def near_copies(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     sigs = materialise(signatures(docs, how.words), "signatures")
-    reps = materialise(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")), "signature-reps")
-    found = connected_components(links(reps, how))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return sigs.join(classes, "sig").select("doc_id", "component_id")
+    reps = materialise(sigs.groupBy("rep", "sig", "n").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), "signature-reps")
+    found = connected_components(exact_links(docs, reps, connected_components(links(reps, how)), how))
+    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("class"))
+    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return sigs.join(classes.join(least, "class").select("rep", "component_id"), "rep").select("doc_id", "component_id")
