@@ -40,3 +40,18 @@ def test_empty_table_and_repeated_ids(spark):
     assert lines.drop_boilerplate(spark.createDataFrame([], COLUMNS)).collect() == []
     docs = spark.createDataFrame([(1, "a", "s", "", 0)] * 3, COLUMNS)
     assert len(lines.drop_boilerplate(docs).collect()) == 3
+
+
+def test_ratio_of_the_query_in_a_hot_site(spark):
+    from verbatlas.llm.queries import LINES
+
+    shares = {"chance": 0.03, "low": 0.06, "mid": 0.08, "high": 0.1}
+    rows = []
+    for i in range(1000):
+        own = [f"own line {i} number {k} of a page" for k in range(6)]
+        rows.append((i, "\n".join(own[:3] + [name for k, (name, x) in enumerate(shares.items()) if (i + 250 * k) % 1000 < 1000 * x] + own[3:]), "hot", "x", 1))
+    rows += [(5000 + i, f"page {i} of another site\nand more {i}", f"site{i % 10}", "x", 1) for i in range(100)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, COLUMNS), **LINES).collect()
+    left = {name: sum(name in r.text.split("\n") for r in got) for name in shares}
+    assert left == {"chance": 30, "low": 0, "mid": 0, "high": 0}
+    assert sum(r.n_dropped for r in got) == 240
