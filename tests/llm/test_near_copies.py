@@ -107,3 +107,13 @@ def test_blocks_of_a_large_component_lose_no_pair(spark):
         by = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, how).collect()}
         assert [by[i] for i in range(120)] == root
     assert 1 < len(set(root)) < 120
+
+
+def test_links_do_not_depend_on_the_depth_of_the_trie(spark):
+    how = near_copies.Tables(tables=4)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    sig = np.repeat(base, 2, axis=0) ^ np.packbits(rng.random((600, 256)) < 0.04, axis=1, bitorder="little").view(np.uint64)
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "rep long, sig binary")
+    found = [{tuple(sorted(r)) for r in near_copies.links(reps, near_copies.Tables(tables=4, leaf_size=n)).collect()} for n in (how.leaf_size, 1)]
+    assert len(found[0]) > 150 and found[0] == found[1]

@@ -11,9 +11,8 @@ the whole shingle sets of the texts are compared, and only pairs at the
 similarity or above are links.
 
 The trie is dealt out as in ``simhash``: the driver walks pairs of nodes of the
-counted upper levels. There at most one bit may differ, which costs some of the
-pairs of one table (other tables find them) and keeps a row's copies at
-one more than the depth of its leaf. A task returns spanning forests only, and skips pairs that
+counted upper levels with the whole budget, so what is found does not depend on
+the depth of the leaves; a row in a leaf of depth d has 1 + d + d (d - 1) / 2 copies. A task returns spanning forests only, and skips pairs that
 are connected already, so a dense group costs little more than its size. A large
 component is cut into blocks, each pair of which is a work unit.
 """
@@ -47,7 +46,6 @@ class Tables:
     tables: int = 32
     bits: int = 28
     budget: int = 2
-    top_budget: int = 1
     slack: float = 0.085
     leaf_size: int = 1 << 19
     least_depth: int = 0
@@ -200,7 +198,7 @@ def links(reps: DataFrame, how: Tables) -> DataFrame:
     for t in range(how.tables):
         size = max(how.leaf_size, int(counts[t].sum()) // 512)
         trie = Trie(counts[t], size, how.least_depth)
-        pairs = trie.pairs(how.top_budget)
+        pairs = trie.pairs(how.budget)
         first = {}
         for n in sorted({n for p in pairs for n in p}):
             chunks = -(-trie.size(n) // size)
