@@ -31,10 +31,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
-    found = near_copies.near_copies(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Keeps one row of each class of near copies (five-word shingles, similarity 0.8): one with the smallest id; ids may be null or repeated."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

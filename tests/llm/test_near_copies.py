@@ -117,3 +117,14 @@ def test_links_do_not_depend_on_the_depth_of_the_trie(spark):
     reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "rep long, sig binary")
     found = [{tuple(sorted(r)) for r in near_copies.links(reps, near_copies.Tables(tables=4, leaf_size=n)).collect()} for n in (how.leaf_size, 1)]
     assert len(found[0]) > 150 and found[0] == found[1]
+
+
+def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    word = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, word("a")), (1, word("a")), (1, word("b")), (2, word("a") + " end"), (None, word("c")), (None, word("c")), (None, word("b")), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, word("a")), (1, word("b")), (None, word("c")), (7, None)], key=str)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbatlas.llm.common import Forest, connected_components, materialise
@@ -311,6 +311,14 @@ def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Ta
     return dealt.groupBy("bucket").applyInArrow(_verify(how), "src long, dst long")
 
 
+def _classes(docs: DataFrame, how: Tables) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (rep, least, class): ``least`` is the smallest doc_id of ``rep``."""
+    sigs = materialise(signatures(docs, how.words), "signatures")
+    reps = materialise(sigs.groupBy("rep", "sig", "n").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), "signature-reps")
+    found = connected_components(exact_links(docs, reps, connected_components(links(reps, how)), how))
+    return sigs, reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("class"))
+
+
 def near_copies(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
     """doc_id and component_id (smallest doc_id of the class of near copies) of every row of ``docs``.
 
@@ -318,9 +326,21 @@ def near_copies(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
     shingle have one shingle of them all; repeated rows are copies; other columns
     are ignored; an empty table gives no rows.
     """
-    sigs = materialise(signatures(docs, how.words), "signatures")
-    reps = materialise(sigs.groupBy("rep", "sig", "n").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), "signature-reps")
-    found = connected_components(exact_links(docs, reps, connected_components(links(reps, how)), how))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("class"))
+    sigs, classes = _classes(docs, how)
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     return sigs.join(classes.join(least, "class").select("rep", "component_id"), "rep").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
+    """Exactly one row of ``docs`` of each class of near copies: one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so ids may be null (they come last)
+    or repeated; of rows that agree in both, any one is kept.
+    """
+    sigs, classes = _classes(docs, how)
+    id, null = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
+    first = F.min(F.struct(null.alias("_null"), id.alias("_id"), F.col("text_key").alias("_text"))).alias("first")
+    kept = sigs.join(classes.select("rep", "class"), "rep").groupBy("class").agg(first).select("first.*")
+    key = ["_null", "_id", "_text"]
+    marked = docs.withColumns({"_null": null, "_id": id, "_text": F.xxhash64("text")}).join(kept, key, "left_semi")
+    return marked.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("_id"))).where("_nth = 1").drop(*key, "_nth")
