@@ -26,8 +26,41 @@ def test_bigram_model_by_hand(spark, tmp_path):
     assert lm.bigram_perplexity(again, corpus(spark, "a b")).first().perplexity == pytest.approx(got.perplexity)
     twice = lm.fit_bigram(corpus(spark, "a b a", "a c"), corpus(spark, "a b a", "a c"))
     assert twice.scalars.first().total_bigrams == 14
-    top = lm.top_bigrams(model, corpus(spark, "a b a", "a c"), 3).collect()
+    placed = lm.fit_bigram(corpus(spark, "a b a", "a c"), places=True)
+    top = lm.top_bigrams(placed, 3).collect()
     assert [(r.w1, r.w2, r.cnt) for r in sorted(top, key=lambda r: -r.cnt)][0] == ("<s>", "a", 2) and {(r.w1, r.w2) for r in top[:3]} == {("<s>", "a"), ("a", "b"), ("b", "a")}
+    odd = lm.fit_bigram(corpus(spark, "a </s> b <s> </s>", "</s>"))  # marks as ordinary tokens
+    assert {r.token: r.cnt for r in odd.unigrams.collect()} == {"<s>": 3, "a": 1, "</s>": 5, "b": 1}
+
+
+def test_texts_are_read_once_for_a_model(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two {i} three. four five six.", "en") for i in range(50)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "d"))
+    found = lm.bigram_perplexity(lm.fit_bigram(C.build_corpus(spark.read.parquet(str(tmp_path / "d")))), corpus(spark, "one two"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("Scan parquet") - final.count("ReusedExchange") <= 1
+
+
+def test_places_order_like_their_parts(spark):
+    ids = [-(2**63), -5, -1, 0, 1, 7, 2**62, 2**63 - 1]
+    rows = [(d, s, p) for d in ids for s in (0, 3, 2**31 - 1) for p in (0, 9, 2**31 - 1)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_id int, pos int")
+    got = [tuple(r)[:3] for r in df.select("*", C.place(df).alias("k")).orderBy("k").collect()]
+    assert got == sorted(rows)
+    text = spark.createDataFrame([("b", 0, 0), ("a", 1, 0)], "doc_id string, sent_id int, pos int")
+    assert text.select("doc_id", C.place(text).alias("k")).orderBy("k").first().doc_id == "a"
+
+
+def test_no_group_is_lost(spark):
+    rows = [(1, "One two three. Four five the.", "en"), (2, "The a an", "de"), (3, "x", None), (4, None, None), (5, "a b c. d e f.", None), (6, "tiny", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    built = C.build_corpus(docs, keep=("lang",))
+    got = {r.lang: (r.documents, r.sentences, r.total_tokens, r.vocabulary_size, r.ttr) for r in C.stats(built, docs).collect()}
+    assert got == {"en": (1, 2, 8, 7, 7 / 8), "de": (1, 1, 3, 3, 1.0), None: (3, 2, 8, 7, 7 / 8), "fr": (1, 0, 0, 0, None)}
+    share = {r.lang: (r.tokens, r.stop_words) for r in C.stopword_share(built, ["the", "a", "an"]).collect()}
+    assert share == {"en": (8, 1), "de": (3, 3), None: (8, 1)}
 
 
 def test_unigram_model_by_hand(spark):
@@ -91,6 +124,34 @@ def test_line_and_record_checks(spark):
     assert bad == {3: wrong, 4: wrong, 5: wrong, 6: ["missing key: url", "missing key: date_retrieved", "missing key: raw_text"], 7: ["invalid JSON object"], 8: ["invalid JSON object"]}
 
 
+def test_thresholds_files_and_authors(spark, tmp_path):
+    one = spark.sql("SELECT 3000L AS n, 1.2D AS s, 0.95D AS r, 500D AS p")
+    checks = lambda df: {r.check: r.passed for r in df.select(F.inline(validate.thresholds(F.col("n"), F.col("s"), F.col("r"), F.col("p"), F.lit(35)))).collect()}
+    assert all(checks(one).values()) and len(checks(one)) == 5
+    bad = checks(spark.sql("SELECT 2499L AS n, 2.1D AS s, 0.9D AS r, CAST(NULL AS DOUBLE) AS p"))
+    assert {k for k, v in bad.items() if v} == {"stop_words"}
+    paths = ["submissions/group_01_nupe/HW1_assignment.py", "submissions/group_5_x_y/sub/HW1_assignment.py", "submissions/team/HW1_assignment.ipynb", "docs/HW1_assignment.md", "submissions/group_2_a/other.py", "submissions/group_05_gbagyi/HW1_assignment.ipynb"]
+    got = {r.path: r.language for r in validate.submitted(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {paths[0]: "nupe", paths[1]: None, paths[2]: None, paths[5]: "gbagyi"}
+    log = spark.createDataFrame([("1 A <a@x>",), (" 1 A <a@x> ",), ("",), ("  ",), ("2 B <b@x>",)], "line string")
+    assert tuple(validate.distinct_authors(log).first()) == (2, True)
+    assert tuple(validate.distinct_authors(log.where("false")).first()) == (0, False)
+    ok = '{"id": 1, "url": "u", "date_retrieved": "d", "raw_text": "t"}'
+    for name, lines in (("x", [ok, "", "{oops"]), ("y", [ok, '{"id": 2}', ok, "[]"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "raw.jsonl").write_text("\n".join(lines) + "\n")
+    found = {(r.file[-len("x/raw.jsonl") :], r.line_no, r.problem) for r in validate.check_files(spark, str(tmp_path / "*" / "*.jsonl")).collect()}
+    invalid = "invalid JSON object"
+    assert found == {("x/raw.jsonl", 3, invalid), ("y/raw.jsonl", 4, invalid)} | {("y/raw.jsonl", 2, f"missing key: {k}") for k in ("url", "date_retrieved", "raw_text")}
+
+
+def test_quality_checks(spark):
+    lines = {"english": "wa the nu", "site_text": "next chapter", "digit": "a 1", "missing_letter": "ɓ?a b\ufffd", "attached_punctuation": "a. b", "short": "ab"}
+    df = spark.createDataFrame([(v,) for v in [*lines.values(), "wa nu .", "a * b"]], "value string")
+    got = {r.check: r.lines for r in validate.qa_counts(df).collect()}
+    assert got == {k: 2 if k == "attached_punctuation" else 1 for k in lines}
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, text in enumerate(("a b a\n\n", "a c\n")):

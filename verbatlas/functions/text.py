@@ -1,18 +1,14 @@
 """Text functions as column expressions: normalisation, sentences, tokens.
 
-All but Unicode NFC are built-in expressions. NFC runs in an Arrow UDF, and only
-texts with a code point from U+0300 on are sent to it: below that every string is
-its own NFC form, so the rest travel as nulls.
+All are built-in expressions of the JVM; Unicode NFC is a method of the ICU
+library that Spark brings along, called only for texts with a code point from
+U+0300 on: below that every string is its own NFC form.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Function words of the language profiles, and words of the page chrome.
 GBAGYI_MODULE = (
@@ -23,15 +19,14 @@ GBAGYI = "wa nu yi n ɓa ge na ye wo ho ba ku lo shi zhin ntu ɓo ɓe a ma gna t
 NUPE = "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would".split()
 STOP_WORDS = {"gbagyi": GBAGYI_MODULE, "gbagyi_glossed": GBAGYI, "nupe": NUPE}
 
-
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+#: A character that normalisation may change: all but line feed, printable ASCII without & ' <, and U+00A1 to U+02FF without the soft hyphen.
+_CHANGED = r"[^\n -%(-;=-~\x{A1}-\x{AC}\x{AE}-\x{2FF}]"
 
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C; null stays null."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -39,8 +34,7 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-def normalize(text: Column) -> Column:
-    """NFC, markup and entities out, control and format characters deleted, quotes to U+02BC, spaces squeezed."""
+def _cleaned(text: Column) -> Column:
     x = nfc(text)
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     x = F.regexp_replace(x, r"&[a-zA-Z]+;", " ")
@@ -48,7 +42,15 @@ def normalize(text: Column) -> Column:
     x = F.translate(x, "\r\t", "  ")
     x = F.regexp_replace(x, r"[\p{C}&&[^\n]]", "")
     x = F.translate(x, "’‘'", "ʼʼʼ")
-    return squeeze(F.regexp_replace(x, "[ ]+", " "))
+    return F.when(text.rlike(_CHANGED), x).otherwise(text)
+
+
+def normalize(text: Column) -> Column:
+    """NFC, markup and entities out, control and format characters deleted, quotes to U+02BC, spaces squeezed.
+
+    Texts without a character that any of the steps before the last can change skip these steps.
+    """
+    return squeeze(F.regexp_replace(_cleaned(text), "  +", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -60,8 +62,9 @@ def sentences(text: Column) -> Column:
 def tokens(text: Column, remove_stopwords: bool = False, keep_punctuation: bool = True, profile: str = "gbagyi") -> Column:
     """Array of tokens of a text that is normalised first.
 
-    Profile ``gbagyi``: lower case, digits out, punctuation detached (or dropped),
-    letters, hyphens and some punctuation kept, lone hyphens dropped.
+    Profile ``gbagyi``: lower case; tokens are runs of letters and hyphens, and single
+    marks of punctuation (or none); all else parts them; lone hyphens dropped. How
+    blanks are squeezed makes no difference here, so only the rest of normalisation runs.
     Profile ``nupe``: markup out, lower case, combining marks kept, punctuation dropped.
     """
     if profile == "nupe":
@@ -70,16 +73,12 @@ def tokens(text: Column, remove_stopwords: bool = False, keep_punctuation: bool
         found = F.filter(F.split(x, r"(?U)\s+", -1), lambda t: (t != "") & (t != "-"))
         words = NUPE
     else:
-        x = F.regexp_replace(F.lower(normalize(text)), r"\p{Nd}+", " ")
-        marks = r'[.,;:!?()\[\]{}"«»“”„…]'
-        x = F.regexp_replace(x, f"({marks})", " $1 ") if keep_punctuation else F.regexp_replace(x, marks, " ")
-        kept = r'.,;:!?()\[\]{}"' if keep_punctuation else ""
-        x = F.regexp_replace(x, rf"[^\p{{L}}\p{{Z}}\n\-{kept}]", " ")
-        found = F.filter(F.split(x, r"(?U)\s+", -1), lambda t: (t != "") & (t != "-"))
+        pattern = r"[\p{L}\-]+" + (r'|[.,;:!?()\[\]{}"]' if keep_punctuation else "")
+        found = F.filter(F.regexp_extract_all(F.lower(_cleaned(text)), F.lit(pattern), F.lit(0)), lambda t: t != "-")
         words = STOP_WORDS[profile]
     if remove_stopwords:
-        stop = F.array(*(F.lit(w) for w in dict.fromkeys(words)))
-        found = F.filter(found, lambda t: ~F.array_contains(stop, t))
+        stop = list(dict.fromkeys(words))
+        found = F.filter(found, lambda t: ~t.isin(stop))
     return found
 
 
@@ -87,6 +86,11 @@ def joined(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def code_point(text: Column) -> Column:
+    """The number of the first character; 0 for an empty text."""
+    return F.ascii(text)
+
+
 def clean_verse(text: Column) -> Column:
     """Verse numbers at the start and behind a sentence, note marks and runs of white space out."""
     x = F.regexp_replace(text, r"(?U)^\s*\d+\s*", "")

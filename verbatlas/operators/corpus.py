@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as T
 
+#: Bytes of input a core from which on a table is taken to have splits enough.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is too small to have a split of its own for each of them.
+
+    A file of one row group is one task however many splits it is cut into. At most
+    ``SPLIT_BYTES`` a core are moved; larger tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
 
 def split_docs(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, sent_id, sentence): normalised texts cut into sentences."""
-    return docs.select(F.col(id).alias("doc_id"), *keep, T.normalize(F.col(text)).alias("text")).select(
+    return spread(docs).select(F.col(id).alias("doc_id"), *keep, T.normalize(F.col(text)).alias("text")).select(
         "doc_id", *keep, F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "sentence")
     )
 
@@ -20,7 +34,7 @@ def tokenize(sents: DataFrame, **how) -> DataFrame:
 
 
 def build_corpus(docs: DataFrame, min_tokens: int = 3, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), **how) -> DataFrame:
-    """Sentences of at least ``min_tokens`` tokens, punctuation included. One stage, no shuffle."""
+    """Sentences of at least ``min_tokens`` tokens, punctuation included. One stage, no shuffle but that of ``spread``."""
     return tokenize(split_docs(docs, id, text, keep), **how).where(F.size("tokens") >= min_tokens)
 
 
@@ -29,27 +43,49 @@ def words(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
 
 
+def place(df: DataFrame) -> Column:
+    """(doc_id, sent_id, pos) as one number of the same order, which hash aggregation takes the least of; a struct for other ids."""
+    kinds = dict(df.dtypes)
+    if kinds["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct("doc_id", "sent_id", "pos")
+    within = F.shiftleft(F.col("sent_id").cast("long"), 32) + F.col("pos")
+    return F.col("doc_id").cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + within.cast("decimal(19,0)")
+
+
 def token_freq(corpus: DataFrame) -> DataFrame:
-    """(token, freq, doc_id, sent_id, pos): count and first appearance of every token."""
-    first = F.min(F.struct("doc_id", "sent_id", "pos")).alias("first")
-    return words(corpus).groupBy("token").agg(F.count("*").alias("freq"), first).select("token", "freq", "first.*")
+    """(token, freq, first): count and place of the first appearance of every token."""
+    each = words(corpus)
+    return each.groupBy("token").agg(F.count("*").alias("freq"), F.min(place(each)).alias("first"))
 
 
 def stats(corpus: DataFrame, docs: DataFrame, by: str = "lang") -> DataFrame:
     """documents, sentences, total_tokens, vocabulary_size, type-token ratio and tokens a sentence, by group.
 
-    The vocabulary is counted from distinct (group, token) rows, so no group's
-    tokens are ever gathered in one place.
+    Every group of ``docs`` has a row, null and groups without a sentence too: their
+    counts are 0 and the ratios over them null. Counted from (group, token) in one
+    pass over the corpus, a null token standing for a sentence.
     """
-    n_docs = docs.groupBy(by).agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("n_chars"))
-    sizes = corpus.groupBy(by).agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).cast("long").alias("total_tokens"))
-    vocab = corpus.select(by, F.explode("tokens").alias("token")).distinct().groupBy(by).agg(F.count("*").alias("vocabulary_size"))
-    return n_docs.join(sizes, by).join(vocab, by).select(
-        by, "documents", "sentences", "total_tokens", "vocabulary_size", "n_chars",
-        (F.col("vocabulary_size") / F.col("total_tokens")).alias("ttr"),
-        (F.col("total_tokens") / F.col("sentences")).alias("tokens_per_sentence"),
-        (F.col("n_chars") / F.col("documents")).alias("chars_per_document"),
-    )
+    n_docs = docs.groupBy(by).agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+    each = corpus.select(F.col(by).alias("_by"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token")).groupBy("_by", "token").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("_by").agg(
+        F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("sentences"), F.sum(F.when(F.col("token").isNotNull(), F.col("n"))).alias("total_tokens"), F.count("token").alias("vocabulary_size")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    joined = n_docs.join(sizes, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "documents", zero("sentences"), zero("total_tokens"), zero("vocabulary_size"), "n_chars").select(
+        "*",
+        ratio("vocabulary_size", "total_tokens").alias("ttr"),
+        ratio("total_tokens", "sentences").alias("tokens_per_sentence"),
+        ratio("n_chars", "documents").alias("chars_per_document"),
+    )
+
+
+def stopword_share(corpus: DataFrame, stop_words: list[str], by: str = "lang") -> DataFrame:
+    """(by, tokens, stop_words, share) of every group with a token, the null group too."""
+    is_stop = F.col("token").isin(list(dict.fromkeys(stop_words)))
+    counts = corpus.select(by, F.explode("tokens").alias("token")).groupBy(by).agg(F.count("*").alias("tokens"), F.count_if(is_stop).alias("stop_words"))
+    return counts.withColumn("share", F.col("stop_words") / F.col("tokens"))
 
 
 def char_counts(corpus: DataFrame, chars: str) -> DataFrame:
@@ -67,5 +103,5 @@ def marked(corpus: DataFrame) -> DataFrame:
 
 def bigrams(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pos, w1, w2) of adjacent tokens, within the row: no window, no shuffle."""
-    pairs = F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens") - 1), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
-    return sents.where(F.size("tokens") > 1).select("doc_id", "sent_id", F.posexplode(pairs).alias("pos", "b")).select("doc_id", "sent_id", "pos", "b.*")
+    each = sents.select("doc_id", "sent_id", "tokens", F.posexplode("tokens").alias("pos", "w1")).where(F.col("pos") < F.size("tokens") - 1)
+    return each.select("doc_id", "sent_id", "pos", "w1", F.get("tokens", F.col("pos") + 1).alias("w2"))

@@ -1,6 +1,6 @@
 """Laplace-smoothed unigram and bigram models as tables of counts.
 
-A model is a table of unigram counts, one of bigram counts and a row of scalars;
+A model is a table of bigram counts, one of unigram counts and a row of scalars;
 fitting twice accumulates by fitting on the union. Scoring joins the test events,
 counted first, to the counts they need; the scalars are one row.
 """
@@ -19,7 +19,7 @@ from verbatlas.operators import corpus as C
 @dataclass(frozen=True)
 class Bigram:
     unigrams: DataFrame  # token, cnt (with boundary marks)
-    bigrams: DataFrame  # w1, w2, cnt
+    bigrams: DataFrame  # w1, w2, cnt[, first]
     scalars: DataFrame  # one row: vocab_size, total_tokens, sentence_count, total_bigrams
 
     def write(self, path: str) -> None:
@@ -31,15 +31,23 @@ class Bigram:
         return Bigram(*(spark.read.parquet(f"{path}/{name}") for name in ("unigrams", "bigrams", "scalars")))
 
 
-def fit_bigram(*corpora: DataFrame) -> Bigram:
-    """Counts over one or more corpora(tokens)."""
-    both = corpora[0].select("tokens")
+def fit_bigram(*corpora: DataFrame, places: bool = False) -> Bigram:
+    """Counts over one or more corpora(tokens); with ``places`` over corpora(doc_id, sent_id, tokens) each bigram has its ``first`` place too.
+
+    Only bigrams are counted from the texts. Every token but the last mark of a
+    sentence starts a bigram and that mark ends one, so the unigrams are sums of
+    bigram counts, and the shuffle of the bigrams is all that a plan does twice.
+    """
+    columns = ["doc_id", "sent_id", "tokens"] if places else [F.lit(0).alias("doc_id"), F.lit(0).alias("sent_id"), "tokens"]
+    both = corpora[0].select(*columns)
     for more in corpora[1:]:
-        both = both.unionByName(more.select("tokens"))
-    sents = C.marked(both.where(F.size("tokens") > 0))
-    uni = sents.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
-    keyed = sents.select(F.lit(0).alias("doc_id"), F.lit(0).alias("sent_id"), "tokens")
-    bi = C.bigrams(keyed).groupBy("w1", "w2").agg(F.count("*").alias("cnt"))
+        both = both.unionByName(more.select(*columns))
+    each = C.bigrams(C.marked(both.where(F.size("tokens") > 0)))
+    first = [F.min(C.place(each)).alias("first")] if places else []
+    bi = each.groupBy("w1", "w2").agg(F.count("*").alias("cnt"), *first)
+    start = F.when(F.col("w1") != "</s>", F.struct(F.col("w1").alias("token"), F.col("cnt").alias("n")))
+    end = F.when(F.col("w2") == "</s>", F.struct(F.col("w2").alias("token"), F.col("cnt").alias("n")))
+    uni = bi.select(F.inline(F.array_compact(F.array(start, end)))).groupBy("token").agg(F.sum("n").alias("cnt"))
     scalars = uni.agg(
         F.count("*").alias("vocab_size"),
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_tokens"),
@@ -99,10 +107,9 @@ def band(perplexity: str = "perplexity"):
     return F.when(F.col(perplexity) < 100, "good").when(F.col(perplexity) <= 500, "fair").otherwise("poor")
 
 
-def top_bigrams(model: Bigram, corpus: DataFrame, n: int = 10) -> DataFrame:
-    """(w1, w2, cnt, p) of the n most frequent bigrams; ties by first appearance."""
-    first = F.min(F.struct("doc_id", "sent_id", "pos")).alias("first")
-    top = C.bigrams(C.marked(corpus)).groupBy("w1", "w2").agg(F.count("*").alias("cnt"), first).orderBy(F.desc("cnt"), "first").limit(n)
+def top_bigrams(model: Bigram, n: int = 10) -> DataFrame:
+    """(w1, w2, cnt, p) of the n most frequent bigrams of a model with places; ties by first appearance."""
+    top = model.bigrams.orderBy(F.desc("cnt"), "first").limit(n)
     return bigram_probability(model, top.select("w1", "w2", "cnt"))
 
 

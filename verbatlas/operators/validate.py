@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.sources.records import read_lines
+
 REQUIRED = ("id", "url", "date_retrieved", "raw_text")
 
 
@@ -42,21 +44,55 @@ def record_schema(lines: DataFrame, value: str = "value", *keep: str) -> DataFra
     return lines.where(F.trim(F.col(value)) != "").select(*keep, F.explode(problems).alias("problem"))
 
 
+def check_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, line_no, problem) of the JSON lines of all files of a glob."""
+    return record_schema(read_lines(spark, glob), "value", "file", "line_no")
+
+
 #: Quality checks of corpus lines: name -> condition over ``value``.
 QA = {
     "english": r"(^| )(the|and|of|with|from)( |$)",
-    "site_text": r"(?i)copyright|sign up|bible app",
+    "site_text": r"(?i)copyright|youversion|sign up|bible app|share|next chapter",
     "digit": r"\p{Nd}",
+    "missing_letter": r"\x{FFFD}|[\p{L}ʼ][?*_][\p{L}ʼ]",
     "attached_punctuation": r"[^\s.,;:!?()\[\]{}\"][.,;:!?]",
     "short": r"^.{1,2}$",
 }
 
 
 def qa_counts(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(check, lines) over all lines, in one pass."""
+    """(check, lines) over all lines, in one pass.
+
+    ``missing_letter``: a replacement character, or a stand-in for a letter within a word.
+    """
     sums = lines.agg(*(F.count_if(F.col(value).rlike(p)).alias(k) for k, p in QA.items()))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("lines")) for k in QA))))
 
 
-def passed(stats: DataFrame, sentences: int = 2500) -> DataFrame:
-    return stats.withColumn("large_enough", F.col("sentences") >= sentences)
+# What a corpus and its models have to reach.
+SENTENCES, EXPONENT, FIT, PERPLEXITY, STOP_WORDS, AUTHORS = 2500, (1.0, 2.0), 0.90, 1000, 30, 2
+
+
+def thresholds(sentences: Column, s: Column, r2: Column, perplexity: Column, stop_words: Column) -> Column:
+    """Array of (check, passed)."""
+    checks = {
+        "sentences": sentences >= SENTENCES,
+        "zipf_exponent": s.between(*EXPONENT),
+        "zipf_fit": r2 > FIT,
+        "perplexity": (perplexity > 0) & (perplexity < PERPLEXITY),
+        "stop_words": stop_words >= STOP_WORDS,
+    }
+    return F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in checks.items()))
+
+
+def submitted(paths: DataFrame, path: str = "path", folder: str = "submissions/", name: str = "HW1_assignment") -> DataFrame:
+    """(path, language) of the changed files that are submissions; the language is what follows the number of the group's folder, else null."""
+    is_one = F.col(path).startswith(folder) & F.col(path).contains(name)
+    language = F.regexp_extract(F.col(path), r"(?:^|/)group_\p{Nd}+_([^/]+)/[^/]*$", 1)
+    return paths.where(is_one).select(path, F.when(language != "", language).alias("language"))
+
+
+def distinct_authors(log: DataFrame, line: str = "line") -> DataFrame:
+    """One row: authors (distinct lines that are not blank) and whether they are enough."""
+    found = log.agg(F.count_distinct(F.when(F.trim(line) != "", F.trim(line))).alias("authors"))
+    return found.withColumn("enough", F.col("authors") >= AUTHORS)

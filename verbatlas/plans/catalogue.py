@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as T
-from verbatlas.functions.html import html_verses
+from verbatlas.functions.html import NOISE, html_verses
 from verbatlas.operators import corpus as C
 from verbatlas.operators import lm, validate, zipf
 from verbatlas.sources import pages as P
+from verbatlas.sources import records, scratch, sinks
 
 CHARS = "ɓéñß"
 
@@ -71,17 +73,30 @@ def token_freq_topk(spark, d):
     return freq.select("token", F.col("cnt").alias("freq")).orderBy(F.desc("freq"), "token").limit(20)
 
 
+def _most_common(spark, d, n, pattern=None):
+    """The n most frequent tokens, ties by first appearance, with their ranks."""
+    freq = C.token_freq(_corpus(spark, d))
+    top = (freq.where(F.col("token").rlike(pattern)) if pattern else freq).orderBy(F.desc("freq"), "first").limit(n)
+    return top.select("token", "freq", F.row_number().over(W.orderBy(F.desc("freq"), "first")).cast("long").alias("rank"))
+
+
 def topk_words_no_punct(spark, d):
-    freq = C.token_freq(_corpus(spark, d)).where(F.col("token").rlike(r"\p{L}"))
-    top = freq.orderBy(F.desc("freq"), "doc_id", "sent_id", "pos").limit(20)
-    order = F.row_number().over(zipf_window()).cast("long").alias("rank")
-    return top.select("token", "freq", order, F.round(F.log10("freq"), 6).alias("log_freq"))
+    return _most_common(spark, d, 20, r"\p{L}").select("*", F.round(F.log10("freq"), 6).alias("log_freq"))
+
+
+def topk_tokens_log(spark, d):
+    return _most_common(spark, d, 20).select("*", F.round(F.log10("rank"), 6).alias("log_rank"), F.round(F.log10("freq"), 6).alias("log_freq"))
 
 
-def zipf_window():
-    from pyspark.sql import Window as W
+def topk_table(spark, d):
+    top = _most_common(spark, d, 20)
+    return top.select("rank", sinks.fixed_width(("rank", "%5d"), ("token", 14), ("freq", "%,8d")))
 
-    return W.orderBy(F.desc("freq"), "doc_id", "sent_id", "pos")
+
+def first_letters(spark, d):
+    """Tokens by the code point of their first character."""
+    tokens = _corpus(spark, d).select(F.explode("tokens").alias("token"))
+    return tokens.groupBy(T.code_point(F.col("token")).cast("long").alias("code_point")).agg(F.count("*").alias("tokens"))
 
 
 def _ranks(spark, d):
@@ -131,8 +146,7 @@ def bigram_prob(spark, d):
 
 
 def bigram_topk(spark, d):
-    corpus = _corpus(spark, d)
-    return lm.top_bigrams(lm.fit_bigram(corpus), corpus, 10).withColumn("p", F.round("p", 9))
+    return lm.top_bigrams(lm.fit_bigram(_corpus(spark, d), places=True), 10).withColumn("p", F.round("p", 9))
 
 
 def unigram_perplexity(spark, d):
@@ -172,45 +186,146 @@ def bigram_prob_sums_to_one(spark, d):
 
 
 def stopword_share(spark, d):
-    words = _corpus(spark, d).select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    stop = spark.createDataFrame([(w,) for w in dict.fromkeys(T.NUPE)], "token string")
-    rest = words.join(F.broadcast(stop), "token", "left_anti").groupBy("lang").agg(F.sum("n").alias("content"))
-    total = words.groupBy("lang").agg(F.sum("n").alias("tokens"))
-    return total.join(rest, "lang").select("lang", "tokens", (F.col("tokens") - F.col("content")).alias("stop_words"), F.round(1 - F.col("content") / F.col("tokens"), 6).alias("share"))
+    return C.stopword_share(_corpus(spark, d), T.NUPE).withColumn("share", F.round("share", 6))
 
 
-def validate_corpus(spark, d):
-    """Lines of the raw texts, so that some of them fail."""
+def grader_thresholds(spark, d):
+    """What the corpus, its Zipf fit and its bigram model have to reach."""
+    corpus = _corpus(spark, d)
+    size = corpus.agg(F.count("*").alias("sentences"))
+    fitted = zipf.fit(zipf.points(zipf.ranks(lm.unigram_counts(corpus).withColumnRenamed("cnt", "freq")))).select("s", "r2")
+    one = size.crossJoin(fitted).crossJoin(lm.bigram_perplexity(lm.fit_bigram(corpus), _test(spark, d)).select("perplexity"))
+    checks = validate.thresholds(F.col("sentences"), F.col("s"), F.col("r2"), F.col("perplexity"), F.lit(len(set(T.GBAGYI))))
+    return one.select(F.inline(checks))
+
+
+def _page_lines(spark, d):
+    """Pieces of the raw pages, so that some of them fail."""
     lines = _table(spark, d, "pages").select(F.posexplode(F.split("html", "<", -1)).alias("pos", "value"), "page_id")
-    found = validate.corpus_format(lines.withColumn("line_no", F.struct("page_id", F.col("pos").cast("long").alias("pos"))))
-    return found.select("line_no.*", "problem")
+    return lines.withColumn("line_no", F.struct("page_id", F.col("pos").cast("long").alias("pos")))
 
 
-def jsonl_schema_check(spark, d):
-    """Records built from documents: ids of several types, some without all keys, some no JSON."""
-    text, n = F.col("text"), F.col("doc_id") % 7
-    quoted = F.to_json(F.struct(F.col("lang").alias("raw_text")))
-    body = F.substring(quoted, 2, 1 << 20)
-    line = (
+def validate_corpus(spark, d):
+    return validate.corpus_format(_page_lines(spark, d)).select("line_no.*", "problem")
+
+
+def validate_corpus_notebook(spark, d):
+    return validate.corpus_format(_page_lines(spark, d), labels="notebook").select("line_no.*", "problem")
+
+
+def corpus_is_clean(spark, d):
+    """Lines of the corpus, and problems of their format, of which there are none."""
+    lines = _corpus(spark, d).select(F.struct("doc_id", "sent_id").alias("line_no"), T.joined(F.col("tokens")).alias("value"))
+    problems = validate.corpus_format(lines).agg(F.count("*").alias("problems"))
+    blank = lines.agg(F.count("*").alias("lines"), F.count_if(F.trim("value") == "").alias("blank"))
+    return blank.crossJoin(problems)
+
+
+def _records_of(spark, d):
+    """Documents as JSON lines: ids of several types, some without all keys, some no JSON; the whole text in each."""
+    n, text = F.col("doc_id") % 7, F.to_json(F.struct(F.col("text").alias("raw_text")))
+    body = F.substr(text, F.lit(2))
+    return _table(spark, d, "documents").select("doc_id", (
         F.when(n == 0, F.concat(F.lit('{"id":'), F.col("doc_id"), F.lit(',"url":"u","date_retrieved":"2026-01-01",'), body))
         .when(n == 1, F.concat(F.lit('{"id":"x","url":"u","date_retrieved":"2026-01-01",'), body))
         .when(n == 2, F.concat(F.lit('{"id":true,"url":"u",'), body))
         .when(n == 3, F.concat(F.lit('{"id":1.5,"url":null,"date_retrieved":3,'), body))
-        .when(n == 4, F.lit("{not json"))
+        .when(n == 4, F.concat(F.lit("{not json "), body))
         .when(n == 5, F.lit("  "))
         .otherwise(F.concat(F.lit('{"id":null,"more":1,"url":"u","date_retrieved":"d",'), body))
-    )
-    return validate.record_schema(_table(spark, d, "documents").select("doc_id", line.alias("value")), "value", "doc_id")
+    ).alias("value"))
+
+
+def jsonl_schema_check(spark, d):
+    return validate.record_schema(_records_of(spark, d), "value", "doc_id")
+
+
+def jsonl_files_check(spark, d):
+    """The same lines written to files and checked over a glob: problems, and lines that have one."""
+    path = scratch.new_path(spark, "records")
+    _records_of(spark, d).select("value").write.text(path)
+    found = validate.check_files(spark, f"{path}/*.txt")
+    return found.groupBy("problem").agg(F.count("*").alias("n"), F.count_distinct("file", "line_no").alias("lines"))
+
+
+def _as_records(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.lit("2026-01-01").alias("date_retrieved"), F.col("text").alias("raw_text"))
+
+
+def records_round_trip(spark, d):
+    """Documents written as JSON lines and read again."""
+    path = scratch.new_path(spark, "round-trip")
+    sinks.write_records(_as_records(spark, d), path)
+    return records.read_records(spark, path)
+
+
+def records_on_disk(spark, d):
+    """Whether a raw file is there, and its lines that are not blank, before and after it is written."""
+    path = scratch.new_path(spark, "on-disk")
+    before = records.exists(spark, path)
+    sinks.write_records(_as_records(spark, d), path)
+    return spark.createDataFrame([(before, records.exists(spark, path), records.count_records(spark, path))], "before boolean, after boolean, records long")
+
+
+def corpus_round_trip(spark, d):
+    """The corpus written as text and read again, by lines and whole: sizes, and files whose lines aren't numbered 1 to n."""
+    path = scratch.new_path(spark, "corpus")
+    sinks.write_corpus(_corpus(spark, d), path)
+    read = records.read_corpus(spark, path).agg(F.count("*").alias("lines"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
+    whole = records.read_whole(spark, path).agg(F.sum(F.length("value")).cast("long").alias("chars"))
+    files = records.read_lines(spark, path).groupBy("file").agg(F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high"), F.count_distinct("line_no").alias("apart"))
+    odd = files.agg(F.count_if((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("apart") != F.col("n"))).alias("misnumbered"))
+    return read.crossJoin(whole).crossJoin(odd)
+
+
+def corpus_head(spark, d):
+    lines = _corpus(spark, d).select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), T.joined(F.col("tokens")).alias("line"))
+    return records.preview(lines, 8, "doc_id", "sent_id")
+
+
+def submitted_files(spark, d):
+    """Paths made of documents, some of submissions, with the language in the folder's name."""
+    folder = F.when(F.col("doc_id") % 3 == 0, F.lit("notes/")).otherwise(F.lit("submissions/"))
+    name = F.when(F.col("doc_id") % 5 == 0, F.lit("report.md")).otherwise(F.lit("HW1_assignment.ipynb"))
+    group = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("team_"), "lang")).otherwise(F.concat(F.lit("group_"), "doc_id", F.lit("_"), "lang"))
+    paths = _table(spark, d, "documents").select("doc_id", F.concat(folder, group, F.lit("/"), name).alias("path"))
+    return validate.submitted(paths)
+
+
+def distinct_authors(spark, d):
+    """Authors of a log with a line a document."""
+    return validate.distinct_authors(_table(spark, d, "documents").select(F.concat(F.lit("  "), "source", F.lit(" ")).alias("line")))
 
 
 def qa_checks(spark, d):
     return validate.qa_counts(_corpus(spark, d).select(T.joined(F.col("tokens")).alias("value")))
 
 
+def qa_checks_raw(spark, d):
+    """The same checks over sentences that are not tokenised."""
+    return validate.qa_counts(C.split_docs(_docs(spark, d)).select(F.col("sentence").alias("value")))
+
+
 def html_blocks(spark, d):
     return _table(spark, d, "pages").select("page_id", F.posexplode(html_verses(F.col("html"))).alias("pos", "block"))
 
 
+def _marked_up(sentence, before, after):
+    """A page of the sentences of a document, each between the given tags; quotes and ampersands as entities."""
+    safe = F.replace(F.replace(F.replace(sentence, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return F.concat(F.lit(before), safe, F.lit(after))
+
+
+def _html_round_trip(before, after):
+    def run(spark, d):
+        """Sentences of documents dressed as verses and found again, with their places."""
+        docs = C.spread(_docs(spark, d)).select("doc_id", T.sentences(T.normalize(F.col("text"))).alias("s"))
+        page = F.concat(F.lit("<html><body><p>a paragraph of the page that is no verse at all</p>"), F.array_join(F.transform("s", lambda x: _marked_up(x, before, after)), "\n"), F.lit("</body></html>"))
+        return docs.where(F.size("s") > 0).select("doc_id", F.posexplode(html_verses(page)).alias("pos", "verse"))
+
+    return run
+
+
 def verse_clean(spark, d):
     """Sentences of documents, numbered and marked as scraped verses are, then cleaned."""
     rows = C.split_docs(_docs(spark, d))
@@ -222,12 +337,28 @@ def chapter_urls(spark, d):
     return P.chapter_urls(spark).select("ord", "book", F.col("chapter").cast("long").alias("chapter"), "url")
 
 
+def _fetched(spark, d):
+    """Pages as a fetch brings them: those whose address has a fragment failed, those with a query string came empty."""
+    pages = _table(spark, d, "pages").withColumnRenamed("page_id", "ord")
+    lost, blank = F.col("url").contains("#"), F.col("url").contains("?")
+    return pages.select("ord", "url", F.when(lost, None).when(blank, F.lit("<p>nothing here</p>")).otherwise(F.col("html")).alias("html"), F.when(lost, F.lit("timed out")).alias("error"))
+
+
 def scrape_records(spark, d):
     return P.records(P.extract(_table(spark, d, "pages").withColumnRenamed("page_id", "ord")), date="2026-01-01")
 
 
+def scrape_records_partly(spark, d):
+    """Ids stay dense when pages fail."""
+    return P.records(P.extract(_fetched(spark, d)), date="2026-01-01").select("id", "url")
+
+
 def scrape_failures(spark, d):
-    return P.failures(P.extract(_table(spark, d, "pages").withColumnRenamed("page_id", "ord")))
+    return P.failures(P.extract(_fetched(spark, d)))
+
+
+def scrape_failures_head(spark, d):
+    return P.failures(P.extract(_fetched(spark, d)), first=10)
 
 
 QUERIES = {
@@ -243,6 +374,9 @@ QUERIES = {
     "char_counts": char_counts,
     "token_freq_topk": token_freq_topk,
     "topk_words_no_punct": topk_words_no_punct,
+    "topk_tokens_log": topk_tokens_log,
+    "topk_table": topk_table,
+    "first_letters": first_letters,
     "zipf_ranks": zipf_ranks,
     "zipf_fit": zipf_fit,
     "zipf_fit_untrimmed": zipf_fit_untrimmed,
@@ -259,14 +393,30 @@ QUERIES = {
     "oov_rate": oov_rate,
     "bigram_prob_sums_to_one": bigram_prob_sums_to_one,
     "stopword_share": stopword_share,
+    "grader_thresholds": grader_thresholds,
     "validate_corpus": validate_corpus,
+    "validate_corpus_notebook": validate_corpus_notebook,
+    "corpus_is_clean": corpus_is_clean,
     "jsonl_schema_check": jsonl_schema_check,
+    "jsonl_files_check": jsonl_files_check,
+    "records_round_trip": records_round_trip,
+    "records_on_disk": records_on_disk,
+    "corpus_round_trip": corpus_round_trip,
+    "corpus_head": corpus_head,
+    "submitted_files": submitted_files,
+    "distinct_authors": distinct_authors,
     "qa_checks": qa_checks,
+    "qa_checks_raw": qa_checks_raw,
     "html_blocks": html_blocks,
+    "html_verse_classes": _html_round_trip('<div class="x ChapterContent_verse__a"><span class="ChapterContent_label__b">7</span> <span class="ChapterContent_content__c">', "</span></div>"),
+    "html_verse_bare": _html_round_trip('<span class="ChapterContent_verse__a">', "</span>"),
+    "html_data_usfm": _html_round_trip('<i data-usfm="MAT.1.1"> ', " </i>"),
     "verse_clean": verse_clean,
     "chapter_urls": chapter_urls,
     "scrape_records": scrape_records,
+    "scrape_records_partly": scrape_records_partly,
     "scrape_failures": scrape_failures,
+    "scrape_failures_head": scrape_failures_head,
 }
 
 # -- the same in DuckDB -----------------------------------------------------------
@@ -335,10 +485,11 @@ up AS (
 ),
 biperp AS (SELECT exp(-sum(n * ln(p)) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT) AS events FROM tp),
 uniperp AS (SELECT exp(-sum(n * ln(p)) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT) AS events FROM up)"""
-_RANKED = f"""{_CORPUS},
+_RANKS = """
 ranked AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM freqs),
 trimmed AS (SELECT * FROM ranked WHERE rank > 5 AND freq > 1),
 kept AS (SELECT * FROM trimmed WHERE (SELECT count(*) FROM trimmed) >= 10 UNION ALL SELECT * FROM ranked WHERE (SELECT count(*) FROM trimmed) < 10)"""
+_RANKED = f"{_CORPUS}, {_RANKS}"
 
 
 def _fit_sql(rows: str) -> str:
@@ -365,6 +516,71 @@ _PROBLEMS = {
     "carriage return": "contains(value, chr(13))",
 }
 
+_MERGED = {
+    "double space": _PROBLEMS["multiple consecutive spaces"],
+    "edge space": f"{_PROBLEMS['leading space']} OR {_PROBLEMS['trailing space']}",
+    "tab or CR": f"{_PROBLEMS['tab character']} OR {_PROBLEMS['carriage return']}",
+}
+_LINES = "WITH lines AS (SELECT page_id, unnest(string_split(html, '<')) AS value, generate_subscripts(string_split(html, '<'), 1) - 1 AS pos FROM pages) "
+# The JSON lines of jsonl_schema_check, parsed by DuckDB: json_type tells what each key holds.
+_PARSED = """
+WITH made AS (
+  SELECT doc_id, substr(json_object('raw_text', text)::VARCHAR, 2) AS body FROM documents
+), lines AS (
+  SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{"id":' || doc_id || ',"url":"u","date_retrieved":"2026-01-01",' || body WHEN 1 THEN '{"id":"x","url":"u","date_retrieved":"2026-01-01",' || body
+    WHEN 2 THEN '{"id":true,"url":"u",' || body WHEN 3 THEN '{"id":1.5,"url":null,"date_retrieved":3,' || body WHEN 4 THEN '{not json ' || body WHEN 5 THEN '  '
+    ELSE '{"id":null,"more":1,"url":"u","date_retrieved":"d",' || body END AS value FROM made
+), parsed AS (
+  SELECT doc_id, json_valid(value) AS good, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM lines WHERE trim(value) <> ''
+), problems AS (
+  SELECT doc_id, 'invalid JSON object' AS problem FROM parsed WHERE NOT good
+  UNION ALL SELECT doc_id, 'missing key: ' || k FROM parsed, (VALUES ('id'), ('url'), ('date_retrieved'), ('raw_text')) keys(k) WHERE good AND NOT list_contains(json_keys(v), k)
+  UNION ALL SELECT doc_id, 'wrong type: id' FROM parsed WHERE good AND list_contains(json_keys(v), 'id') AND json_type(v, '$.id') NOT IN ('BIGINT', 'UBIGINT', 'BOOLEAN')
+  UNION ALL SELECT doc_id, 'wrong type: ' || k FROM parsed, (VALUES ('url'), ('date_retrieved'), ('raw_text')) keys(k) WHERE good AND list_contains(json_keys(v), k) AND json_type(v, '$.' || k) <> 'VARCHAR'
+)"""
+_VOID = "area base br col embed hr img input link meta param source track wbr".split()
+# A page's tags and texts one after the other with the elements that are open at each: a text belongs to all of them.
+# An end tag closes the last open element of its name and all within it; scripts and styles say nothing.
+_BLOCKS = rf"""
+bare AS (SELECT page_id, url, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<!---->', 'gs') AS h FROM pages),
+toks AS (SELECT page_id, regexp_extract_all(h, '<!--.*?-->|<[^>]*>|[^<]+', 0, 's') AS ts FROM bare),
+tok AS (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM toks),
+kind AS (SELECT page_id, k, t, lower(regexp_extract(t, '^</?([a-zA-Z][^\s/>]*)', 1)) AS name, CASE WHEN NOT starts_with(t, '<') THEN 't' WHEN starts_with(t, '</') THEN 'e' ELSE 's' END AS kind FROM tok),
+walk AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, name VARCHAR)[]) AS stack FROM pages
+  UNION ALL
+  SELECT w.page_id, w.k + 1, CASE
+    WHEN x.kind = 's' AND x.name <> '' AND x.name NOT IN ({_list(_VOID)}) AND NOT ends_with(x.t, '/>') THEN list_append(stack, {{'id': x.k, 'name': x.name}})
+    WHEN x.kind = 'e' AND list_contains(list_transform(stack, lambda e: e.name), x.name)
+    THEN stack[1:len(stack) - list_position(list_reverse(list_transform(stack, lambda e: e.name)), x.name)]
+    ELSE stack END
+  FROM walk w JOIN kind x ON x.page_id = w.page_id AND x.k = w.k + 1
+), texts AS (
+  SELECT w.page_id, w.k, w.stack, regexp_replace(replace(replace(replace(regexp_replace(x.t, '&amp(;|$)', chr(1), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '^\s+|\s+$', '', 'g') AS raw
+  FROM walk w JOIN kind x USING (page_id, k) WHERE x.kind = 't'
+), own AS (
+  SELECT page_id, k, unnest(stack) AS e, replace(raw, chr(1), '&') AS txt FROM texts WHERE raw <> ''
+), whole AS (
+  SELECT page_id, e.id AS id, string_agg(txt, ' ' ORDER BY k) AS block FROM own WHERE e.name IN ('p', 'div', 'span') GROUP BY page_id, e.id
+), blocks AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY id) - 1 AS pos, block
+  FROM (SELECT page_id, block, min(id) AS id FROM whole WHERE length(block) >= 25 AND {' AND '.join(f"NOT contains(block, '{m}')" for m in NOISE)} GROUP BY page_id, block)
+)"""
+
+
+def _verse_sql(v: str) -> str:
+    x = rf"regexp_replace(regexp_replace({v}, '^\s*\p{{Nd}}+\s*', ''), '([.?!])\s*\p{{Nd}}+([A-ZƁ])', '\1 \2', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[#*]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+_SCRAPED = f"""
+verses AS (SELECT page_id, pos, {_verse_sql('block')} AS verse FROM blocks),
+scraped AS (SELECT page_id, url, raw_text FROM pages JOIN (SELECT page_id, string_agg(verse, ' ' ORDER BY pos) AS raw_text FROM verses WHERE length(verse) > 10 GROUP BY page_id) USING (page_id))"""
+_FAILED = """
+failed AS (
+  SELECT page_id, url, CASE WHEN contains(url, '#') THEN 'timed out' ELSE 'no verses parsed' END AS reason FROM pages
+  WHERE contains(url, '#') OR contains(url, '?') OR page_id NOT IN (SELECT page_id FROM scraped))"""
+
 ORACLE_SQL: dict[str, str] = {
     "normalize_docs": f"SELECT doc_id, {_norm('text')} AS normalized FROM documents",
     "normalize_pages": f"SELECT page_id, {_norm('html')} AS normalized FROM pages",
@@ -374,18 +590,26 @@ ORACLE_SQL: dict[str, str] = {
     "tokens_no_stopwords": _tokens_sql(_toks("sentence", stop=T.GBAGYI_MODULE)),
     "tokens_nupe": _tokens_sql(_nupe("sentence")),
     "corpus_lines": f"WITH {_CORPUS} SELECT doc_id, sent_id, array_to_string(tokens, ' ') AS line FROM corpus",
-    "corpus_stats": f"""WITH {_CORPUS}
-SELECT lang, documents, sentences, total_tokens, vocabulary_size, n_chars, round(vocabulary_size / total_tokens, 6) AS ttr,
-       round(total_tokens / sentences, 6) AS tokens_per_sentence, round(n_chars / documents, 6) AS chars_per_document
-FROM (SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY lang)
-JOIN (SELECT lang, count(*) AS sentences, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM corpus GROUP BY lang) USING (lang)
-JOIN (SELECT lang, count(DISTINCT token) AS vocabulary_size FROM words GROUP BY lang) USING (lang)""",
+    "corpus_stats": f"""WITH {_CORPUS}, counted AS (
+  SELECT d.lang, documents, n_chars, coalesce(sentences, 0) AS sentences, coalesce(total_tokens, 0) AS total_tokens, coalesce(vocabulary_size, 0) AS vocabulary_size
+  FROM (SELECT lang, count(*) AS documents, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM documents GROUP BY lang) d
+  LEFT JOIN (SELECT lang, count(*) AS sentences, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM corpus GROUP BY lang) s ON d.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN (SELECT lang, count(DISTINCT token) AS vocabulary_size FROM words GROUP BY lang) v ON d.lang IS NOT DISTINCT FROM v.lang)
+SELECT lang, documents, sentences, total_tokens, vocabulary_size, n_chars, round(vocabulary_size / nullif(total_tokens, 0), 6) AS ttr,
+       round(total_tokens / nullif(sentences, 0), 6) AS tokens_per_sentence, round(n_chars / documents, 6) AS chars_per_document FROM counted""",
     "char_counts": f"""WITH {_CORPUS}, chars(ch) AS (VALUES {', '.join(f"('{c}')" for c in CHARS)})
 SELECT ch, CAST(sum(length(line) - length(replace(line, ch, ''))) AS BIGINT) AS occurrences FROM chars, (SELECT array_to_string(tokens, ' ') AS line FROM corpus) GROUP BY ch""",
     "token_freq_topk": f"WITH {_CORPUS} SELECT token, freq FROM freqs ORDER BY freq DESC, token LIMIT 20",
     "topk_words_no_punct": f"""WITH {_CORPUS}, firsts AS (
   SELECT token, count(*) AS freq, min((doc_id, sent_id, pos)) AS first FROM words WHERE regexp_matches(token, '\\p{{L}}') GROUP BY token)
 SELECT token, freq, row_number() OVER (ORDER BY freq DESC, first) AS rank, round(log10(freq), 6) AS log_freq FROM firsts ORDER BY freq DESC, first LIMIT 20""",
+    "topk_tokens_log": f"""WITH {_CORPUS}, firsts AS (SELECT token, count(*) AS freq, min((doc_id, sent_id, pos)) AS first FROM words GROUP BY token),
+top AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, first) AS rank FROM firsts ORDER BY rank LIMIT 20)
+SELECT token, freq, rank, round(log10(rank), 6) AS log_rank, round(log10(freq), 6) AS log_freq FROM top""",
+    "topk_table": f"""WITH {_CORPUS}, firsts AS (SELECT token, count(*) AS freq, min((doc_id, sent_id, pos)) AS first FROM words GROUP BY token),
+top AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, first) AS rank FROM firsts ORDER BY rank LIMIT 20)
+SELECT rank, lpad(rank::VARCHAR, 5, ' ') || ' ' || rpad(token, 14, ' ') || ' ' || lpad(format('{{:,}}', freq), 8, ' ') AS line FROM top""",
+    "first_letters": f"WITH {_CORPUS} SELECT CAST(unicode(token) AS BIGINT) AS code_point, count(*) AS tokens FROM words GROUP BY 1",
     "zipf_ranks": f"WITH {_RANKED} SELECT token, freq, rank FROM ranked",
     "zipf_fit": _fit_rounded("kept"),
     "zipf_fit_untrimmed": _fit_rounded("ranked"),
@@ -410,15 +634,44 @@ SELECT oov_tokens, oov_types, test_tokens, round(oov_tokens / test_tokens, 6) AS
 FROM (SELECT w1, sum(cnt) AS followed, count(*) AS successors FROM bi GROUP BY w1) JOIN uni ON w1 = token, scalars""",
     "stopword_share": f"""WITH {_CORPUS} SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE token IN ({_list(T.NUPE)})) AS stop_words,
   round(1 - count(*) FILTER (WHERE token NOT IN ({_list(T.NUPE)})) / count(*), 6) AS share FROM words GROUP BY lang""",
-    "validate_corpus": "WITH lines AS (SELECT page_id, unnest(string_split(html, '<')) AS value, generate_subscripts(string_split(html, '<'), 1) - 1 AS pos FROM pages) "
+    "validate_corpus": _LINES
     + " UNION ALL ".join(f"SELECT page_id, pos, '{name}' AS problem FROM lines WHERE value <> '' AND {test}" for name, test in _PROBLEMS.items()),
-    "jsonl_schema_check": """
-SELECT doc_id, unnest(CASE doc_id % 7 WHEN 1 THEN ['wrong type: id'] WHEN 2 THEN ['missing key: date_retrieved']
-  WHEN 3 THEN ['wrong type: id', 'wrong type: url', 'wrong type: date_retrieved'] WHEN 4 THEN ['invalid JSON object'] WHEN 6 THEN ['wrong type: id'] ELSE [] END) AS problem FROM documents""",
+    "validate_corpus_notebook": _LINES
+    + " UNION ALL ".join(f"SELECT page_id, pos, '{name}' AS problem FROM lines WHERE value <> '' AND ({test})" for name, test in _MERGED.items()),
+    "corpus_is_clean": f"WITH {_CORPUS}, lines AS (SELECT array_to_string(tokens, ' ') AS value FROM corpus) SELECT count(*) AS lines, count(*) FILTER (WHERE trim(value) = '') AS blank, "
+    + " + ".join(f"count(*) FILTER (WHERE value <> '' AND {test})" for test in _PROBLEMS.values())
+    + " AS problems FROM lines",
+    "grader_thresholds": f"""WITH {_MODEL}{_TEST}, {_RANKS}, fitted AS ({_fit_sql('kept')}), one AS (SELECT (SELECT count(*) FROM corpus) AS sentences, s, r2, perplexity FROM fitted, biperp)
+SELECT unnest(['sentences', 'zipf_exponent', 'zipf_fit', 'perplexity', 'stop_words']) AS "check",
+       unnest([sentences >= 2500, s BETWEEN 1 AND 2, r2 > 0.9, perplexity > 0 AND perplexity < 1000, {len(set(T.GBAGYI))} >= 30]) AS passed FROM one""",
+    "jsonl_schema_check": f"{_PARSED} SELECT doc_id, problem FROM problems",
+    "jsonl_files_check": f"{_PARSED} SELECT problem, count(*) AS n, count(DISTINCT doc_id) AS lines FROM problems GROUP BY problem",
+    "records_round_trip": "SELECT doc_id AS id, 'u' || doc_id AS url, '2026-01-01' AS date_retrieved, text AS raw_text FROM documents",
+    "records_on_disk": "SELECT false AS before, true AS after, count(*) AS records FROM documents",
+    "corpus_round_trip": f"""WITH {_CORPUS} SELECT count(*) AS lines, CAST(sum(len(tokens)) AS BIGINT) AS tokens,
+  CAST(sum(length(array_to_string(tokens, ' ')) + 1) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS misnumbered FROM corpus""",
+    "corpus_head": f"WITH {_CORPUS} SELECT doc_id, sent_id, array_to_string(tokens, ' ') AS line FROM corpus ORDER BY doc_id, sent_id LIMIT 8",
+    "submitted_files": """
+WITH paths AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN 'notes/' ELSE 'submissions/' END || CASE WHEN doc_id % 4 = 0 THEN 'team_' || lang ELSE 'group_' || doc_id || '_' || lang END || '/' ||
+         CASE WHEN doc_id % 5 = 0 THEN 'report.md' ELSE 'HW1_assignment.ipynb' END AS path FROM documents)
+SELECT path, CASE WHEN path LIKE '%/group!_%' ESCAPE '!' THEN split_part(split_part(path, '/', 2), '_', 3) END AS language
+FROM paths WHERE starts_with(path, 'submissions/') AND contains(path, 'HW1_assignment')""",
+    "distinct_authors": "SELECT count(DISTINCT source) AS authors, count(DISTINCT source) >= 2 AS enough FROM documents",
+    "html_verse_classes": f"WITH {_SENT} SELECT doc_id, CAST(sent_id AS INTEGER) AS pos, sentence AS verse FROM sent",
+    "html_verse_bare": f"WITH {_SENT} SELECT doc_id, CAST(sent_id AS INTEGER) AS pos, sentence AS verse FROM sent",
+    "html_data_usfm": f"WITH {_SENT} SELECT doc_id, CAST(sent_id AS INTEGER) AS pos, sentence AS verse FROM sent",
+    "html_blocks": f"WITH RECURSIVE {_BLOCKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, block FROM blocks",
+    "scrape_records": f"WITH RECURSIVE {_BLOCKS}, {_SCRAPED} SELECT row_number() OVER (ORDER BY page_id) AS id, url, '2026-01-01' AS date_retrieved, raw_text FROM scraped",
+    "scrape_records_partly": f"WITH RECURSIVE {_BLOCKS}, {_SCRAPED} SELECT row_number() OVER (ORDER BY page_id) AS id, url FROM scraped WHERE NOT contains(url, '#') AND NOT contains(url, '?')",
+    "scrape_failures": f"WITH RECURSIVE {_BLOCKS}, {_SCRAPED}, {_FAILED} SELECT url, reason FROM failed",
+    "scrape_failures_head": f"WITH RECURSIVE {_BLOCKS}, {_SCRAPED}, {_FAILED} SELECT url, reason FROM failed ORDER BY page_id LIMIT 10",
+    "qa_checks_raw": f"WITH {_SENT}, lines AS (SELECT sentence AS value FROM sent) "
+    + " UNION ALL ".join(f"""SELECT '{k}' AS "check", count(*) FILTER (WHERE regexp_matches(value, '{p}')) AS lines FROM lines""" for k, p in validate.QA.items()),
     "qa_checks": f"WITH {_CORPUS}, lines AS (SELECT array_to_string(tokens, ' ') AS value FROM corpus) "
     + " UNION ALL ".join(f"""SELECT '{k}' AS "check", count(*) FILTER (WHERE regexp_matches(value, '{p}')) AS lines FROM lines""" for k, p in validate.QA.items()),
     "verse_clean": f"""WITH {_SENT}, raw AS (SELECT doc_id, sent_id, ' ' || sent_id || ' ' || regexp_replace(sentence, '([.?!])', '\\1 12', 'g') || '#* A' AS v FROM sent)
-SELECT doc_id, sent_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '^\\s*\\p{{Nd}}+\\s*', ''), '([.?!])\\s*\\p{{Nd}}+([A-ZƁ])', '\\1 \\2', 'g'), '[#*]+', ' ', 'g'), '\\s+', ' ', 'g')) AS verse FROM raw""",
+SELECT doc_id, sent_id, {_verse_sql('v')} AS verse FROM raw""",
     "chapter_urls": f"""WITH books(i, book, n) AS (VALUES {', '.join(f"({i}, '{b}', {n})" for i, (b, n) in enumerate(P.BOOKS))})
 SELECT row_number() OVER (ORDER BY i, chapter) AS ord, book, chapter, printf('{P.ADDRESS}', book, chapter) AS url FROM (SELECT i, book, unnest(generate_series(1, n)) AS chapter FROM books)""",
 }

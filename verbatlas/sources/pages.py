@@ -13,21 +13,25 @@ from verbatlas.functions.html import html_verses
 from verbatlas.functions.text import clean_verse
 from verbatlas.operators.ranking import global_rank
 
-# Book codes with their numbers of chapters, and the address of a chapter.
+# Book codes with their numbers of chapters, the address of a chapter, and what a request says of its sender.
 BOOKS = (
     ("MAT", 28), ("MRK", 16), ("LUK", 24), ("JHN", 21), ("ACT", 28), ("ROM", 16), ("1CO", 16), ("2CO", 13), ("GAL", 6),
     ("EPH", 6), ("PHP", 4), ("COL", 4), ("1TH", 5), ("2TH", 3), ("1TI", 6), ("2TI", 4), ("TIT", 3), ("PHM", 1),
     ("HEB", 13), ("JAS", 5), ("1PE", 5), ("2PE", 3), ("1JN", 5), ("2JN", 1), ("3JN", 1), ("JUD", 1), ("REV", 22),
 )
 ADDRESS = "https://www.bible.com/bible/1621/%s.%d.GAW"
+HEADERS = {
+    "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Accept-Language": "en-US,en;q=0.9",
+}
 
 
 def chapter_urls(spark: SparkSession, limit: int | None = None, books=BOOKS, address: str = ADDRESS) -> DataFrame:
     """(ord, book, chapter, url) in order; a limit of 0 or None is none."""
-    rows = spark.createDataFrame([(i, b, n) for i, (b, n) in enumerate(books)], "at int, book string, n int")
-    every = rows.select("at", "book", F.explode(F.sequence(F.lit(1), "n")).alias("chapter"))
-    ranked = global_rank(every, F.asc("at"), F.asc("chapter"), name="ord")
-    urls = ranked.select("ord", "book", "chapter", F.format_string(address, "book", "chapter").alias("url"))
+    before = [sum(n for _, n in books[:i]) for i in range(len(books))]
+    rows = spark.createDataFrame([(k, b, n) for k, (b, n) in zip(before, books, strict=True)], "before long, book string, n int")
+    every = rows.select("before", "book", F.explode(F.sequence(F.lit(1), "n")).alias("chapter"))
+    urls = every.select((F.col("before") + F.col("chapter")).alias("ord"), "book", "chapter", F.format_string(address, "book", "chapter").alias("url"))
     return urls.where(F.col("ord") <= limit) if limit else urls
 
 
@@ -51,7 +55,7 @@ class _Reader(DataSourceReader):
 
         for k, url in enumerate(partition.urls):
             try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept-Language": "en"}), timeout=self.timeout) as answer:
+                with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS), timeout=self.timeout) as answer:
                     yield k + 1, url, answer.read().decode("utf-8", "replace"), None
             except (urllib.error.URLError, OSError) as e:
                 yield k + 1, url, None, str(e)
@@ -89,5 +93,7 @@ def records(extracted: DataFrame, ord: str = "ord", date=None) -> DataFrame:
     return global_rank(good, F.asc(ord), name="id").select("id", "url", day.alias("date_retrieved"), "raw_text")
 
 
-def failures(extracted: DataFrame) -> DataFrame:
-    return extracted.where("reason IS NOT NULL").select("url", "reason")
+def failures(extracted: DataFrame, first: int | None = None, ord: str = "ord") -> DataFrame:
+    """(url, reason) of the pages without a record; of the ``first`` ones by page order only, if given."""
+    bad = extracted.where("reason IS NOT NULL")
+    return (bad.orderBy(ord).limit(first) if first else bad).select("url", "reason")

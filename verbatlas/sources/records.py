@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +25,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered by the order of the file's splits and of the lines in them;
     only the line counts of a file's splits are added up in one place.
     """
-    from pyspark.sql import Window as W
-
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value"
     )
@@ -34,7 +35,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): a row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def read_first(spark: SparkSession, glob: str) -> DataFrame:
@@ -51,6 +52,27 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.lit(0).cast("long").alias("doc_id"), F.col("line_no").alias("sent_id"), found.alias("tokens")).where(F.size("tokens") > 0)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
+def project_root(start: str, marker: str = "tests") -> Path:
+    """The nearest folder from ``start`` upwards that holds ``marker``; raises if none does."""
+    here = Path(start).resolve()
+    for folder in (here, *here.parents):
+        if (folder / marker).exists():
+            return folder
+    raise FileNotFoundError(f"no folder above {start} holds {marker}")
+
+
+def preview(lines: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by the given columns."""
+    return lines.orderBy(*order).limit(n)
+
+
 def count_records(spark: SparkSession, path: str) -> int:
     """Non-blank lines: what a run that finds its output already there reports."""
     return spark.read.text(path).where(F.trim("value") != "").count()

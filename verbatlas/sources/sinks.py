@@ -16,8 +16,12 @@ def write_records(records: DataFrame, path: str) -> None:
 def write_corpus(corpus: DataFrame, path: str, one_file: bool = False) -> None:
     """A sentence a line, tokens joined by spaces, in document order over the part files.
 
-    ``one_file`` gathers the lines in one task, for corpora that other tools read whole.
+    ``one_file`` gathers the lines in one task, for corpora that other tools read
+    whole. A corpus without a sentence is one blank line.
     """
+    if corpus.isEmpty():
+        corpus.sparkSession.createDataFrame([("",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     lines = corpus.orderBy("doc_id", "sent_id").select(F.array_join("tokens", " ").alias("value"))
     (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)
 
