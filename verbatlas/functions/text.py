@@ -19,14 +19,15 @@ GBAGYI = "wa nu yi n ɓa ge na ye wo ho ba ku lo shi zhin ntu ɓo ɓe a ma gna t
 NUPE = "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would".split()
 STOP_WORDS = {"gbagyi": GBAGYI_MODULE, "gbagyi_glossed": GBAGYI, "nupe": NUPE}
 
-#: A character that normalisation may change: all but line feed, printable ASCII without & ' <, and U+00A1 to U+02FF without the soft hyphen.
-_CHANGED = r"[^\n -%(-;=-~\x{A1}-\x{AC}\x{AE}-\x{2FF}]"
+#: A character that normalisation may change: controls, markup, apostrophes, no-break space, soft hyphen, and all from U+0300 on.
+#: Stated as what is looked for: Java searches a negated class of several ranges about eight times slower.
+_CHANGED = r"[&<'\x00-\x09\x0B-\x1F\x7F-\xA0\xAD\x{300}-\x{10FFFF}]"
 
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C; null stays null."""
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(text)
+    return F.when(text.rlike(r"[\x{300}-\x{10FFFF}]"), composed).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

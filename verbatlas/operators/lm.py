@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import text as T
 from verbatlas.operators import corpus as C
+from verbatlas.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -34,9 +35,10 @@ class Bigram:
 def fit_bigram(*corpora: DataFrame, places: bool = False) -> Bigram:
     """Counts over one or more corpora(tokens); with ``places`` over corpora(doc_id, sent_id, tokens) each bigram has its ``first`` place too.
 
-    Only bigrams are counted from the texts. Every token but the last mark of a
-    sentence starts a bigram and that mark ends one, so the unigrams are sums of
-    bigram counts, and the shuffle of the bigrams is all that a plan does twice.
+    Fitting is an action: the bigrams are counted in one pass over the texts and
+    written to the shared folder, all else is made of that table. Every token but
+    the last mark of a sentence starts a bigram and that mark ends one, so the
+    unigrams are sums of bigram counts.
     """
     columns = ["doc_id", "sent_id", "tokens"] if places else [F.lit(0).alias("doc_id"), F.lit(0).alias("sent_id"), "tokens"]
     both = corpora[0].select(*columns)
@@ -44,7 +46,7 @@ def fit_bigram(*corpora: DataFrame, places: bool = False) -> Bigram:
         both = both.unionByName(more.select(*columns))
     each = C.bigrams(C.marked(both.where(F.size("tokens") > 0)))
     first = [F.min(C.place(each)).alias("first")] if places else []
-    bi = each.groupBy("w1", "w2").agg(F.count("*").alias("cnt"), *first)
+    bi = materialise(each.groupBy("w1", "w2").agg(F.count("*").alias("cnt"), *first), "bigrams")
     start = F.when(F.col("w1") != "</s>", F.struct(F.col("w1").alias("token"), F.col("cnt").alias("n")))
     end = F.when(F.col("w2") == "</s>", F.struct(F.col("w2").alias("token"), F.col("cnt").alias("n")))
     uni = bi.select(F.inline(F.array_compact(F.array(start, end)))).groupBy("token").agg(F.sum("n").alias("cnt"))
@@ -58,8 +60,9 @@ def fit_bigram(*corpora: DataFrame, places: bool = False) -> Bigram:
 
 def bigram_probability(model: Bigram, pairs: DataFrame) -> DataFrame:
     """Adds ``p`` = (c(w1,w2) + 1) / (c(w1) + V) to ``pairs(w1, w2, ...)``; raises for a model without counts."""
-    cnt2 = model.bigrams.select("w1", "w2", F.col("cnt").alias("_c2"))
-    cnt1 = model.unigrams.select(F.col("token").alias("w1"), F.col("cnt").alias("_c1"))
+    asked = pairs.select("w1", "w2")  # hardly ever as many as the model has: only their counts go into the joins
+    cnt2 = model.bigrams.select("w1", "w2", F.col("cnt").alias("_c2")).join(asked, ["w1", "w2"], "left_semi")
+    cnt1 = model.unigrams.select(F.col("token").alias("w1"), F.col("cnt").alias("_c1")).join(asked, "w1", "left_semi")
     found = pairs.join(cnt2, ["w1", "w2"], "left").join(cnt1, "w1", "left").crossJoin(F.broadcast(model.scalars.select(F.col("vocab_size").alias("_v"))))
     size = F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.raise_error(F.lit("the model has not been fitted")).cast("long"))
     p = (F.coalesce("_c2", F.lit(0)) + 1) / (F.coalesce("_c1", F.lit(0)) + size)
@@ -91,6 +94,16 @@ def unigram_counts(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
+def fit_unigram(corpus: DataFrame) -> DataFrame:
+    """The same, counted once and written to the shared folder."""
+    return materialise(unigram_counts(corpus), "unigrams")
+
+
+def without_marks(model: Bigram) -> DataFrame:
+    """(token, cnt) of a bigram model's tokens but for the boundary marks."""
+    return model.unigrams.where(~F.col("token").isin("<s>", "</s>"))
+
+
 def unigram_probability(counts: DataFrame, words: DataFrame) -> DataFrame:
     """Adds ``p`` = (c + 1) / (N + V) to ``words(token, ...)``."""
     scalars = counts.agg(F.sum("cnt").alias("_n"), F.count("*").alias("_v"))

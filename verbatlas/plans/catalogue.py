@@ -150,7 +150,7 @@ def bigram_topk(spark, d):
 
 
 def unigram_perplexity(spark, d):
-    return lm.unigram_perplexity(lm.unigram_counts(_corpus(spark, d)), _test(spark, d)).withColumn("perplexity", F.round("perplexity", 4))
+    return lm.unigram_perplexity(lm.fit_unigram(_corpus(spark, d)), _test(spark, d)).withColumn("perplexity", F.round("perplexity", 4))
 
 
 def bigram_perplexity(spark, d):
@@ -159,9 +159,9 @@ def bigram_perplexity(spark, d):
 
 
 def perplexity_improvement(spark, d):
-    corpus, lines = _corpus(spark, d), _test(spark, d)
-    uni = lm.unigram_perplexity(lm.unigram_counts(corpus), lines).select(F.col("perplexity").alias("unigram"))
-    bi = lm.bigram_perplexity(lm.fit_bigram(corpus), lines).select(F.col("perplexity").alias("bigram"))
+    model, lines = lm.fit_bigram(_corpus(spark, d)), _test(spark, d)
+    uni = lm.unigram_perplexity(lm.without_marks(model), lines).select(F.col("perplexity").alias("unigram"))
+    bi = lm.bigram_perplexity(model, lines).select(F.col("perplexity").alias("bigram"))
     both = uni.crossJoin(bi).withColumn("improvement", F.round(1 - F.col("bigram") / F.col("unigram"), 6))
     return both.withColumn("unigram", F.round("unigram", 4)).withColumn("bigram", F.round("bigram", 4))
 
@@ -191,10 +191,10 @@ def stopword_share(spark, d):
 
 def grader_thresholds(spark, d):
     """What the corpus, its Zipf fit and its bigram model have to reach."""
-    corpus = _corpus(spark, d)
-    size = corpus.agg(F.count("*").alias("sentences"))
-    fitted = zipf.fit(zipf.points(zipf.ranks(lm.unigram_counts(corpus).withColumnRenamed("cnt", "freq")))).select("s", "r2")
-    one = size.crossJoin(fitted).crossJoin(lm.bigram_perplexity(lm.fit_bigram(corpus), _test(spark, d)).select("perplexity"))
+    model = lm.fit_bigram(_corpus(spark, d))
+    size = model.scalars.select(F.col("sentence_count").alias("sentences"))
+    fitted = zipf.fit(zipf.points(zipf.ranks(lm.without_marks(model).withColumnRenamed("cnt", "freq")))).select("s", "r2")
+    one = size.crossJoin(fitted).crossJoin(lm.bigram_perplexity(model, _test(spark, d)).select("perplexity"))
     checks = validate.thresholds(F.col("sentences"), F.col("s"), F.col("r2"), F.col("perplexity"), F.lit(len(set(T.GBAGYI))))
     return one.select(F.inline(checks))
 
