@@ -1,55 +1,31 @@
-"""What the operators share: tables, the shared folder, exact block pairs, connected components."""
+"""What the operators share: tables, folds, names, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from verbatlas.sources.scratch import drop_tables, materialise, new_path, shared_dir
+
+__all__ = ["Forest", "connected_components", "drop_tables", "fold_ascii", "fresh", "held_out", "learnable", "materialise", "new_path", "shared_dir", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests in one process) a temporary folder is made, once a session.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="verbatlas-")
-    return _LOCAL[app]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage in a way that survives lost executors, computes the rows
-    once and gives the optimiser the true size of the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete materialised tables that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names that no column of a table has, whatever its case: the given ones, with underscores in front as needed."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Forest:
@@ -70,9 +46,18 @@ class Forest:
                 self.root = up
 
 
+def _fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
 def held_out(doc_id: Column) -> Column:
-    """True for the fold that no model learns labels from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the fold that no model learns labels from: crc32 of the id as text, modulo 5, is 0; false for a null id."""
+    return F.coalesce(_fold(doc_id) == 0, F.lit(False))
+
+
+def learnable(doc_id: Column) -> Column:
+    """True for the other folds; a null id is in none of them."""
+    return F.coalesce(_fold(doc_id) != 0, F.lit(False))
 
 
 def unit_hash(col: Column, seed: str) -> Column:
@@ -85,19 +70,28 @@ def fold_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Nodes with more edges than this, and than one in ``HUBS`` of all, are hubs: fewer than 2 * ``HUBS`` of them, whatever the graph.
+HUB_EDGES, HUBS = 512, 4096
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """One large-star or small-star step over edges (u > v).
 
-    Every step links the neighbours of a node to the smallest of them, by a
-    partial aggregation and a join back, so that the thousands of edges of a
-    hub are never gathered in one task: the join's hot key is split by AQE.
+    Every step links the neighbours of a node to the smallest of them, by a partial
+    aggregation and a join back. Nodes of more than ``hub`` edges don't take part in
+    the shuffled join, where all their edges would meet in one task: they are so
+    few that their minima are broadcast, and their edges stay where they are.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
-    joined = both.join(least, F.col("u") == F.col("k"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select(F.col("k").alias("hub"), F.col("m").alias("hub_m")))
+    told = both.join(hubs, F.col("u") == F.col("hub"), "left")
+    hot = told.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m"))
+    cold = told.where("hub IS NULL").select("u", "v").join(least.where(F.col("n") <= hub).select("k", "m"), F.col("u") == F.col("k")).select("u", "v", "m")
+    joined = hot.union(cold)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -121,9 +115,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = materialise(_star(_star(now, True), False), "edges")
+        hub = max(HUB_EDGES, seen[0] // HUBS)
+        half = materialise(_star(now, True, hub), "edges")
+        after = materialise(_star(half, False, hub), "edges")
         new = mark(after)
-        drop_tables(spark, now)
+        drop_tables(spark, now, half)
         now = after
         if new == seen:
             break

@@ -1,7 +1,8 @@
 """Embedding near-duplicates by E8 lattice hashing.
 
 1. Vectors that are null, zero or hold null or non-finite components link with
-   nothing. Equal vectors collapse to one representative with its count.
+   nothing. Equal vectors collapse to one representative with its count; it carries
+   the keys of its cells from here on.
 2. In each of ``tables`` tables a vector is projected by a random matrix to
    ``blocks`` x 8 numbers, shifted, and decoded to the nearest point of the lattice
    E8 in every block: its home cell. The ``probes`` next nearest cells (neighbours
@@ -25,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import Forest, connected_components, materialise
+from verbatlas.llm.common import Forest, connected_components, drop_tables, materialise
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,14 @@ def shortest_vectors() -> np.ndarray:
     return np.array(out)
 
 
-_SHORTEST = shortest_vectors()
+def _halves() -> np.ndarray:
+    """One of each pair of opposite shortest vectors: 120, the others being their negatives."""
+    every = shortest_vectors()
+    return every[[k for k, v in enumerate(every) if v[np.flatnonzero(v)[0]] > 0]]
+
+
+_HALF = _halves()
+_SHORTEST = np.concatenate([_HALF, -_HALF])
 
 
 def decode_d8(x: np.ndarray) -> np.ndarray:
@@ -103,10 +112,14 @@ def cells(unit: np.ndarray, how: Lattice) -> np.ndarray:
         for b in range(how.blocks):
             x = low[:, (t * how.blocks + b) * 8 : (t * how.blocks + b + 1) * 8]
             home = decode_e8(x)
-            more = 2 - 2 * _product(x - home, _SHORTEST.T)
-            next_ = np.argsort(more, axis=1, kind="stable")[:, :wide]
+            toward = _product(x - home, _HALF.T)
+            toward = np.concatenate([toward, -toward], axis=1)  # how far the rest points to each neighbouring cell
+            next_ = np.sort(np.argpartition(-toward, wide - 1, axis=1)[:, :wide], axis=1)
+            more = 2 - 2 * np.take_along_axis(toward, next_, axis=1)
+            order = np.argsort(more, axis=1, kind="stable")
+            next_, more = np.take_along_axis(next_, order, axis=1), np.take_along_axis(more, order, axis=1)
             point.append(np.concatenate([home[:, None], home[:, None] + _SHORTEST[next_]], axis=1))
-            cost.append(np.concatenate([np.zeros((n, 1)), np.take_along_axis(more, next_, axis=1)], axis=1))
+            cost.append(np.concatenate([np.zeros((n, 1)), more], axis=1))
         parts = []  # the hash of a block's point, for each of its choices
         for b, p in enumerate(point):
             whole = (2 * p).astype(np.int64).astype(np.uint64)
@@ -116,7 +129,8 @@ def cells(unit: np.ndarray, how: Lattice) -> np.ndarray:
             total = (total[:, :, None] + c[:, None, :]).reshape(n, -1)
             key = (key[:, :, None] + k[:, None, :]).reshape(n, -1)
         best = np.argsort(total, axis=1, kind="stable")[:, : 1 + how.probes]
-        out[:, t] = _mix(np.take_along_axis(key, best, axis=1) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        own = ((t + 1) * 0x9E3779B97F4A7C15 + d * 0xD6E8FEB86659FD93) % (1 << 64)  # vectors of other lengths never share a cell
+        out[:, t] = _mix(np.take_along_axis(key, best, axis=1) + np.uint64(own))
     return out
 
 
@@ -127,33 +141,50 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """Rows of vectors of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def by_length(column: pa.ListArray | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) for each length of the vectors of a column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths):
+        places = np.flatnonzero(lengths == d)
+        yield places, _matrix(column if len(places) == len(column) else column.take(pa.array(places)))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, exactly, so that squares of very large or small components stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components don't leave the range
-    x = x / top
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cell_rows(reps: DataFrame, how: Lattice) -> DataFrame:
-    """(key, rep, home) of every representative in every table."""
+def cell_rows(distinct: DataFrame, how: Lattice) -> DataFrame:
+    """``distinct`` with ``keys`` added: the cells of its ``vector`` in every table, each with the home cell first."""
+    at = distinct.columns.index("vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                keys = cells(_unit(_matrix(part.column(1))), how)
-                n, per = len(keys), keys.shape[1] * keys.shape[2]
-                home = np.zeros(keys.shape, bool)
-                home[:, :, 0] = True
-                rep = np.repeat(part.column(0).to_numpy(), per)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(n * per).view(np.int64)), pa.array(rep), pa.array(home.reshape(n * per))], ["key", "rep", "home"])
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                keys = np.empty((part.num_rows, how.tables * (1 + how.probes)), np.uint64)
+                for places, x in by_length(part.column(at)):
+                    keys[places] = cells(_unit(x), how).reshape(len(places), -1)
+                values = pa.array(keys.reshape(-1).view(np.int64))
+                held = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), values)
+                yield pa.RecordBatch.from_arrays([*part.columns, held], [*part.schema.names, "keys"])
 
-    return reps.select("rep", "vector").mapInArrow(run, "key long, rep long, home boolean")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema.fields)
+    return distinct.mapInArrow(run, f"{ddl}, keys array<long>")
 
 
 def _pairs(unit: np.ndarray, low: int = 48, step: int = 1 << 16) -> Iterator[tuple[int, int] | tuple[np.ndarray, np.ndarray]]:
@@ -176,50 +207,60 @@ def _pairs(unit: np.ndarray, low: int = 48, step: int = 1 << 16) -> Iterator[tup
 
 
 def _near(x: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of rows of one unit at cosine ``threshold`` or more, some at a time."""
+    """Index pairs i < j of rows of one unit at cosine ``threshold`` or more, some at a time.
+
+    All are decided by the same sum, whatever the size of their unit: the matrix product only leaves out those that are clearly below.
+    """
     for a, b in _pairs(unit):
         if isinstance(a, int):
             for s in range(a, b, 512):
-                i, j = np.nonzero(x[s : min(s + 512, b)] @ x[a:b].T >= threshold)
+                i, j = np.nonzero(x[s : min(s + 512, b)] @ x[a:b].T >= threshold - 1e-9)
                 up = i + s < j + a
-                yield i[up] + s, j[up] + a
+                i, j = i[up] + s, j[up] + a
+                for at in range(0, len(i), 1 << 16):
+                    p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                    yield p[near], q[near]
         else:
             near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
             yield a[near], b[near]
 
 
+def _verify_length(rows: pa.Table, x: np.ndarray, threshold: float, how: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, other, links) of rows sorted by (unit, rep): a spanning forest of the links, and the links counted here by rep."""
+    unit, key, rep, home, block, weight = (rows.column(c).to_numpy() for c in ("unit", "key", "rep", "home", "block", "weight"))
+    own = rows.column("own").to_numpy()  # the unit joins a block with itself
+    _, first, code = np.unique(rep, return_index=True, return_inverse=True)
+    every = rows.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), how.tables, 1 + how.probes)[first]
+    links, tree = np.zeros(len(first)), Forest(len(rep))
+    for i, j in _near(x, unit, threshold):
+        ok = (home[i] | home[j]) & (own[i] | (block[i] != block[j]))
+        i, j = i[ok], j[ok]
+        tree.link(i, j)
+        for at in range(0, len(i), 1 << 15):
+            p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            a, b = every[code[p]], every[code[q]]
+            meets = np.stack([(b == a[:, :, :1]).any(axis=2), (a == b[:, :, :1]).any(axis=2)])
+            table = meets.any(axis=0).argmax(axis=1)  # the first table where the two meet
+            k = np.arange(len(p))
+            none = np.uint64(np.iinfo(np.uint64).max)
+            event = np.minimum(np.where(meets[0, k, table], a[k, table, 0], none), np.where(meets[1, k, table], b[k, table, 0], none))
+            here = event == key[p].view(np.uint64)
+            links += np.bincount(code[p[here]], weight[q[here]], len(links)) + np.bincount(code[q[here]], weight[p[here]], len(links))
+    moved = np.flatnonzero(tree.root != np.arange(len(rep)))
+    hit = np.flatnonzero(links)
+    return (
+        np.concatenate([rep[moved], rep[first[hit]]]),
+        np.concatenate([rep[tree.root[moved]], rep[first[hit]]]),
+        np.concatenate([np.zeros(len(moved)), links[hit]]).astype(np.int64),
+    )
+
+
 def _verify(threshold: float, how: Lattice):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.lexsort((rows.column("rep").to_numpy(), rows.column("unit").to_numpy()))))
-        unit, key, rep, home, block, weight = (rows.column(c).to_numpy() for c in ("unit", "key", "rep", "home", "block", "weight"))
-        own = rows.column("own").to_numpy()  # the unit joins a block with itself
-        x = _unit(_matrix(rows.column("vector")))
-        _, first, code = np.unique(rep, return_index=True, return_inverse=True)
-        every = cells(x[first], how)
-        links, tree = np.zeros(len(first)), Forest(len(rep))
-        for i, j in _near(x, unit, threshold):
-            ok = (home[i] | home[j]) & (own[i] | (block[i] != block[j]))
-            i, j = i[ok], j[ok]
-            tree.link(i, j)
-            for at in range(0, len(i), 1 << 15):
-                p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                a, b = every[code[p]], every[code[q]]
-                meets = np.stack([(b == a[:, :, :1]).any(axis=2), (a == b[:, :, :1]).any(axis=2)])
-                table = meets.any(axis=0).argmax(axis=1)  # the first table where the two meet
-                k = np.arange(len(p))
-                none = np.uint64(np.iinfo(np.uint64).max)
-                event = np.minimum(np.where(meets[0, k, table], a[k, table, 0], none), np.where(meets[1, k, table], b[k, table, 0], none))
-                here = event == key[p].view(np.uint64)
-                links += np.bincount(code[p[here]], weight[q[here]], len(links)) + np.bincount(code[q[here]], weight[p[here]], len(links))
-        moved = np.flatnonzero(tree.root != np.arange(len(rep)))
-        hit = np.flatnonzero(links)
-        return pa.table(
-            {
-                "rep": pa.array(np.concatenate([rep[moved], rep[first[hit]]]), pa.int64()),
-                "other": pa.array(np.concatenate([rep[tree.root[moved]], rep[first[hit]]]), pa.int64()),
-                "links": pa.array(np.concatenate([np.zeros(len(moved)), links[hit]]).astype(np.int64), pa.int64()),
-            }
-        )
+        found = [_verify_length(rows.take(pa.array(places)), _unit(x), threshold, how) for places, x in by_length(rows.column("vector"))]
+        return pa.table({name: pa.array(np.concatenate(c), pa.int64()) for name, c in zip(("rep", "other", "links"), zip(*found, strict=True), strict=True)})
 
     return run
 
@@ -246,26 +287,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, how: Lattice =
     """vec_id, n_links, component_id and kept of every row of ``vectors(vec_id, embedding)``.
 
     ``n_links`` counts the other rows at cosine ``threshold`` or more that the cells
-    bring together, ``component_id`` is the smallest vec_id reachable over links.
-    Unusable vectors (null, zero, null or non-finite components) have no links and
-    are their own component; vectors of other lengths than the most frequent one
-    neither; other columns are ignored; no rows give no rows. vec_ids are distinct.
+    bring together, ``component_id`` is the smallest vec_id reachable over links,
+    ``kept`` whether it is the row's own. Vectors link with those of their own length
+    only. Unusable vectors (null, zero, null or non-finite components) have no links
+    and are their own component. A repeated vec_id has a row for each of its rows,
+    which count as links of each other if they are near; a null vec_id has its row,
+    but is the component of null ids only. Other columns are ignored; no rows give
+    no rows.
     """
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    good = ids.where(usable(F.col("vector")))
-    lengths = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if lengths is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("vector") == lengths["d"])
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)["embedding"]
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("vector"))
     mark = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("again"), "vector").alias("h2")]
-    named = materialise(good.select("vec_id", *mark), "vector-ids")
-    reps = materialise(
-        good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "vector", *mark), "vector-reps"
-    )
-    dealt = materialise(units(materialise(cell_rows(reps, how), "cells"), how), "cell-units")
+    marked = materialise(ids.select("vec_id", F.when(usable(F.col("vector")), F.struct(*mark)).alias("mark")), "vector-ids")
+    good = ids.where(usable(F.col("vector")))
+    distinct = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # a number of its own for each distinct vector, fixed by being written once
+    reps = materialise(cell_rows(distinct.select(F.monotonically_increasing_id().alias("rep"), "least", "weight", "vector", *mark), how), "vector-reps")
+    keyed = reps.select("rep", F.posexplode("keys").alias("pos", "key")).select("key", "rep", (F.col("pos") % (1 + how.probes) == 0).alias("home"))
+    dealt = materialise(units(keyed, how), "cell-units")
     groups = max(1, dealt.count() // 20_000)
     found = materialise(
-        dealt.join(reps.select("rep", "weight", F.col("vector").alias("vector")), "rep")
+        dealt.join(reps.select("rep", "weight", "vector", "keys"), "rep")
         .groupBy(F.pmod("unit", F.lit(groups)).alias("group"))
         .applyInArrow(lambda t: _verify(threshold, how)(t), "rep long, other long, links long"),
         "vector-links",
@@ -273,13 +316,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, how: Lattice =
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("rep <> other").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     full = materialise(
-        reps.select("rep", "weight", "h1", "h2").join(counts, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left").select(
-            "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        reps.select("rep", "least", "weight", "h1", "h2").join(counts, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left").select(
+            "h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class")
         ),
         "vector-classes",
     )
-    known = named.join(full, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    every = ids.select("vec_id").join(known, "vec_id", "left")
-    return every.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    drop_tables(spark, dealt, found, reps)
+    lowest = full.groupBy("class").agg(F.min("least").alias("component_id"))
+    known = marked.where("mark IS NOT NULL").select("vec_id", "mark.*").join(full.join(lowest, "class").select("h1", "h2", "n_links", "component_id"), ["h1", "h2"])
+    alone = marked.where("mark IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = known.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
