@@ -10,11 +10,13 @@ at the similarity does. Candidates decide nothing: within each component of them
 the whole shingle sets of the texts are compared, and only pairs at the
 similarity or above are links.
 
-The trie is dealt out as in ``simhash``: the driver walks pairs of nodes of the
-counted upper levels with the whole budget, so what is found does not depend on
-the depth of the leaves; a row in a leaf of depth d has 1 + d + d (d - 1) / 2 copies. A task returns spanning forests only, and skips pairs that
-are connected already, so a dense group costs little more than its size. A large
-component is cut into blocks, each pair of which is a work unit.
+The tries are dealt out as in ``simhash``: two keys within 2 bits differ in at most
+one bit of one half, so each table has two tries, the halves swapped in one, whose
+upper levels are walked with one bit, at 1 + depth places a row. What is found does
+not depend on the depth. Tables that fit one node need no such levels. A task
+returns spanning forests only, and skips pairs that are connected already, so a
+dense group costs little more than its size. A large component is cut into blocks,
+each pair of which is a work unit.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import Forest, connected_components, materialise
+from verbatlas.llm.common import Forest, connected_components, fresh, materialise
 from verbatlas.llm.lattice import _mix
-from verbatlas.llm.simhash import _BITS, _PLACE, TOP, Trie, shingle_hashes, similar
+from verbatlas.llm.simhash import _BITS, _PLACE, UNIT, deal, depth_of, shingle_hashes, similar
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,7 @@ class Tables:
     bits: int = 28
     budget: int = 2
     slack: float = 0.085
-    leaf_size: int = 1 << 19
-    least_depth: int = 0
+    leaf_size: int = 1 << 18
     seed: int = 6
     block_rows: int = 1024
     block_shingles: int = 1 << 21
@@ -182,48 +183,20 @@ def _join_leaves(how: Tables):
     return run
 
 
-def _frame(spark: SparkSession, rows: np.ndarray, *names: str) -> DataFrame:
-    return spark.createDataFrame(pa.table({n: pa.array(c.astype(np.int32)) for n, c in zip(names, rows, strict=True)}))
-
-
 def links(reps: DataFrame, how: Tables) -> DataFrame:
     """Edges (src, dst) of ``reps(rep, sig)`` that span the components of the candidates found."""
-    spark = reps.sparkSession
-    keys = table_keys(reps, how)
-    top = F.shiftrightunsigned("key", 64 - TOP).cast("int")
-    counts = np.zeros((how.tables, 1 << TOP), np.int64)
-    got = keys.groupBy("tab", top.alias("p")).agg(F.count("*").alias("n")).toArrow()  # 4096 rows a table at most
-    counts[got.column("tab").to_numpy(), got.column("p").to_numpy()] = got.column("n").to_numpy()
-    place, units, chunk, unit = [], [], 0, 0
-    for t in range(how.tables):
-        size = max(how.leaf_size, int(counts[t].sum()) // 512)
-        trie = Trie(counts[t], size, how.least_depth)
-        pairs = trie.pairs(how.budget)
-        first = {}
-        for n in sorted({n for p in pairs for n in p}):
-            chunks = -(-trie.size(n) // size)
-            first[n] = (chunk, chunks)
-            span = np.arange(n[1] << (TOP - n[0]), (n[1] + 1) << (TOP - n[0]))
-            place.append(np.stack([np.full_like(span, t), span, np.full_like(span, chunk), np.full_like(span, chunks)]))
-            chunk += chunks
-        for a, b in pairs:
-            for i in range(first[a][1]):
-                for j in range(i if a == b else 0, first[b][1]):
-                    x, y = first[a][0] + i, first[b][0] + j
-                    units += [(x, unit, 2)] if x == y else [(x, unit, 0), (y, unit, 1)]
-                    unit += 1
-    if not units:
-        return spark.createDataFrame([], "src long, dst long")
-    places = _frame(spark, np.concatenate(place, axis=1), "tab", "p", "first", "chunks")
-    where = _frame(spark, np.array(units).T, "chunk", "unit", "side")
-    dealt = (
-        keys.withColumn("p", top)
-        .join(F.broadcast(places), ["tab", "p"])
-        .select("key", "rep", "sig", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("chunks"))).cast("int").alias("chunk"))
-        .join(F.broadcast(where), "chunk")
-        .select("unit", "side", "key", "rep", "sig")
-    )
-    return dealt.groupBy("unit").applyInArrow(_join_leaves(how), "src long, dst long")
+    if how.budget > 3:
+        raise ValueError("one bit in a half is enough for a budget of 3 at most")
+    half = how.bits // 2
+    depth = depth_of(reps.count(), how.leaf_size, 0, half)
+    keys = table_keys(reps, how).withColumn("turn", F.lit(0))
+    if depth:
+        low = F.shiftrightunsigned(F.shiftleft("key", half), half)  # the bits behind the first half
+        swapped = F.shiftleft("key", half).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("key").bitwiseXOR(low), 64 - half), 64 - how.bits))
+        keys = keys.withColumn("key", F.explode(F.array(F.struct(F.lit(0).alias("turn"), "key"), F.struct(F.lit(1).alias("turn"), swapped.alias("key")))))
+        keys = keys.select("tab", "rep", "sig", "key.turn", "key.key")
+    dealt = deal(keys, ["tab", "turn"], depth, how.leaf_size)
+    return dealt.groupBy("tab", "turn", *UNIT).applyInArrow(_join_leaves(how), "src long, dst long")
 
 
 def verify_unit(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float) -> np.ndarray:
@@ -339,8 +312,8 @@ def one_of_each(docs: DataFrame, how: Tables = Tables()) -> DataFrame:
     """
     sigs, classes = _classes(docs, how)
     id, null = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
-    first = F.min(F.struct(null.alias("_null"), id.alias("_id"), F.col("text_key").alias("_text"))).alias("first")
+    first = F.min(F.struct(null.alias("no_id"), id.alias("id"), F.col("text_key").alias("text"))).alias("first")
     kept = sigs.join(classes.select("rep", "class"), "rep").groupBy("class").agg(first).select("first.*")
-    key = ["_null", "_id", "_text"]
-    marked = docs.withColumns({"_null": null, "_id": id, "_text": F.xxhash64("text")}).join(kept, key, "left_semi")
-    return marked.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("_id"))).where("_nth = 1").drop(*key, "_nth")
+    *key, nth = fresh(docs.columns, "no_id", "id", "text_key", "nth")
+    marked = docs.withColumns(dict(zip(key, (null, id, F.xxhash64("text")), strict=True))).join(kept.toDF(*key), key, "left_semi")
+    return marked.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(key[0]))).where(F.col(nth) == 1).drop(*key, nth)

@@ -35,21 +35,24 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
 
-#: The ratio lies in the gap between lines that recur by chance (up to 4.6 % of a source in sf0.1) and the repeated line (8.7 % and more).
-LINES = {"ratio": 0.05, "min_pages": 4, "max_loss": 0.8}
+#: The ratio lies in the gap between lines that recur by chance and repeated lines: see the README.
+LINES = {"ratio": 0.05}
+
+
+def document_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, host): the sites of the documents that ``pages`` show; the number at the end of a url's path is a doc_id."""
+    return urls.shown(table(spark, sf_dir, "pages")).where("name <> ''").select("doc_id", F.col("name").alias("host"))
 
 
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_boilerplate(table(spark, sf_dir, "documents"), site="source", **LINES)
+    found = lines.drop_boilerplate(table(spark, sf_dir, "documents"), hosts=document_hosts(spark, sf_dir), **LINES)
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the label with a page's number is bad if it says low quality or toxic."""
-    labels = table(spark, sf_dir, "labels")
-    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    outcomes = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    found = urls.judge(table(spark, sf_dir, "pages"), outcomes)
+    """A page's outcome is that of the document it shows."""
+    pages = table(spark, sf_dir, "pages")
+    found = urls.judge(pages, urls.outcomes(pages, table(spark, sf_dir, "labels")))
     return found.withColumn("bad_rate", F.round("bad_rate", 9)).withColumn("bound", F.round("bound", 9))
 
 
@@ -89,7 +92,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
-    "op4_site_lines": lines.SQL.format(**LINES),
+    "op4_site_lines": lines.SQL.format(number=urls.NUMBER, name=urls.NAME_SQL, **LINES),
     "op5_host_reputation": urls.sql(),
     "op10_license_diagonals": licenses.sql(),
 }

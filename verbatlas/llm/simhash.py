@@ -2,18 +2,24 @@
 
 1. Every whole text gets a 64-bit SimHash of its word shingles (Arrow batches).
 2. Equal fingerprints collapse to one row, so copies cost nothing further on.
-3. The top 12 bits are counted (at most 4096 rows reach the driver) and the trie
-   is cut into leaves of bounded size. The driver walks pairs of trie nodes from
-   (root, root), adds up differing bits and prunes a pair as soon as the error
-   budget is exceeded; what is left is a list of leaf pairs.
-4. Each leaf pair is one group: a task walks the rest of both sub-tries together,
-   with the same budget, and returns only a spanning forest of the links found
+3. The upper levels of the trie are walked by dealing out rows. Two fingerprints
+   within 3 bits differ in at most one bit of their upper or of their lower half,
+   so there are two tries, one of them over the halves swapped, and in the upper
+   levels of each (all within the first half) a budget of one bit is enough: a node
+   is joined with itself and with the nodes that differ from it in one bit, which
+   gives each row 1 + depth places in a trie. The depth grows with the logarithm of
+   the rows, so nodes hold a bounded number of them at any size; a node that holds
+   more than its share (similar texts share their first bits) is cut into chunks by
+   a hash, and each pair of chunks is joined.
+4. Each pair of nodes is one group: a task walks the rest of both sub-tries together
+   with the whole error budget, and returns only a spanning forest of the links found
    (connectivity needs no more), so a dense group emits no quadratic result.
-5. Components of the forests, over all leaf pairs, by distributed star contraction.
+5. Components of the forests, over all node pairs, by distributed star contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,9 @@ from pyspark.sql import functions as F
 
 from verbatlas.llm.common import connected_components, materialise
 
-TOP = 12
+#: Over-full nodes up to which their table (24 bytes a row) is broadcast; more of them are joined by a shuffle.
+FEW_NODES = 100_000
+UNIT = ["low", "high", "c1", "c2"]
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -62,42 +70,40 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-class Trie:
-    """The upper levels of a binary trie over 12-bit prefixes with their counts."""
-
-    def __init__(self, counts: np.ndarray, leaf_size: int, least_depth: int):
-        self.before = np.concatenate([[0], np.cumsum(counts)])
-        self.leaf_size, self.least_depth = leaf_size, least_depth
-
-    def size(self, node: tuple[int, int]) -> int:
-        depth, prefix = node
-        span = 1 << (TOP - depth)
-        return int(self.before[(prefix + 1) * span] - self.before[prefix * span])
-
-    def is_leaf(self, node: tuple[int, int]) -> bool:
-        return node[0] == TOP or node[0] >= self.least_depth and self.size(node) <= self.leaf_size
-
-    def pairs(self, budget: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-        """Leaf pairs (a, b), a <= b in trie order, whose known bits differ in at most ``budget`` places."""
-        found, todo = [], [((0, 0), (0, 0), 0)]
-        kids = lambda n: [(n[0] + 1, 2 * n[1] + bit) for bit in (0, 1)]
-        while todo:
-            a, b, errors = todo.pop()
-            if errors > budget or not self.size(a) or not self.size(b):
-                continue
-            stop_a, stop_b = self.is_leaf(a), self.is_leaf(b)
-            if stop_a and stop_b:
-                # known bits of the deeper node beyond the other's depth say nothing
-                found.append((a, b))
-            elif a == b:
-                x, y = kids(a)
-                todo += [(x, x, 0), (y, y, 0), (x, y, 1)]
-            else:
-                for x in [a] if stop_a else kids(a):
-                    for y in [b] if stop_b else kids(b):
-                        d = min(x[0], y[0])
-                        todo.append((x, y, ((x[1] >> (x[0] - d)) ^ (y[1] >> (y[0] - d))).bit_count()))
-        return found
+def depth_of(rows: int, leaf_size: int, least: int, half: int) -> int:
+    """Levels to walk so that nodes hold about ``leaf_size`` rows, within the first half of the key."""
+    return min(half, max(least, math.ceil(math.log2(max(1.0, rows / leaf_size)))))
+
+
+def deal(rows: DataFrame, trie: list[str], depth: int, leaf_size: int) -> DataFrame:
+    """Rows of ``rows(*trie, key, rep, ...)`` with (low, high, c1, c2) of each pair of nodes they are joined in, and their ``side``.
+
+    Nodes are the first ``depth`` bits of ``key``, in each of the tries that the
+    columns ``trie`` name. Sides 0 and 1 are joined, or side 2 with itself. Two rows
+    whose first bits differ in one place at most meet in exactly one pair.
+    """
+    first = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    rows = rows.withColumn("p", first)
+    full = materialise(rows.groupBy(*trie, "p").agg(F.count("*").alias("n")).where(F.col("n") > leaf_size).select(*trie, "p", F.ceil(F.col("n") / leaf_size).cast("int").alias("n")), "full-nodes")
+    n = full.count()
+    some = F.broadcast(full) if n <= FEW_NODES else full
+    near = F.explode(F.array(F.col("p"), *(F.col("p").bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(depth))))
+    if n:
+        rows = rows.join(some.withColumnRenamed("n", "own_n"), [*trie, "p"], "left")
+        other = some.withColumnsRenamed({"p": "q", "n": "other_n"})
+        rows = rows.withColumn("q", near).join(other, [*trie, "q"], "left")
+    else:
+        rows = rows.withColumn("q", near).withColumns({"own_n": F.lit(1), "other_n": F.lit(1)})
+    one = lambda c: F.coalesce(c, F.lit(1))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), one("own_n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), one("other_n") - 1)))
+    before = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("own") < F.col("other")))
+    same = (F.col("p") == F.col("q")) & (F.col("own") == F.col("other"))
+    return rows.withColumns(
+        {
+            "low": F.least("p", "q"), "high": F.greatest("p", "q"), "side": F.when(same, 2).when(before, 0).otherwise(1),
+            "c1": F.when(before, F.col("own")).otherwise(F.col("other")), "c2": F.when(before, F.col("other")).otherwise(F.col("own")),
+        }
+    ).drop("p", "q", "own", "other", "own_n", "other_n")
 
 
 def similar(a: np.ndarray, b: np.ndarray | None, budget: int, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,16 +190,16 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def _join_leaves(budget: int):
     def run(rows: pa.Table) -> pa.Table:
         side = rows.column("side").to_numpy()
-        fp = rows.column("fp").to_numpy().view(np.uint64)
+        key = rows.column("key").to_numpy().view(np.uint64)
         rep = rows.column("rep").to_numpy()
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
-        order = first[np.argsort(fp[first], kind="stable")]
-        if len(second):
-            other = second[np.argsort(fp[second], kind="stable")]
-            both = np.concatenate([order, other])
-            links = ((i, j + len(order)) for i, j in similar(fp[order], fp[other], budget))
+        order = first[np.argsort(key[first], kind="stable")]
+        if (side == 2).any():
+            both, links = order, similar(key[order], None, budget)
         else:
-            both, links = order, similar(fp[order], None, budget)
+            other = second[np.argsort(key[second], kind="stable")]
+            both = np.concatenate([order, other])
+            links = ((i, j + len(order)) for i, j in similar(key[order], key[other], budget))
         root = forest(len(both), links)
         moved = np.flatnonzero(root != np.arange(len(both)))
         return pa.table({"src": pa.array(rep[both[moved]], pa.int64()), "dst": pa.array(rep[both[root[moved]]], pa.int64())})
@@ -201,58 +207,32 @@ def _join_leaves(budget: int):
     return run
 
 
-def trie_links(reps: DataFrame, budget: int = 3, leaf_size: int = 16384, least_depth: int = 5) -> DataFrame:
-    """Edges (src, dst) that connect all rows of ``reps(fp, rep)`` at ``budget`` or fewer differing bits.
+def trie_links(reps: DataFrame, budget: int = 3, leaf_size: int = 4096, least_depth: int = 5) -> DataFrame:
+    """Edges (src, dst) that connect all rows of ``reps(fp, rep)`` at ``budget`` (3 at most) or fewer differing bits.
 
     ``fp`` is distinct; the edges span the same components as all links do.
     """
-    spark = reps.sparkSession
-    top = F.shiftrightunsigned("fp", 64 - TOP).cast("int")
-    counted = {r["p"]: r["n"] for r in reps.groupBy(top.alias("p")).agg(F.count("*").alias("n")).collect()}
-    counts = np.array([counted.get(p, 0) for p in range(1 << TOP)], np.int64)
-    size = max(leaf_size, int(counts.sum()) // 512)
-    trie = Trie(counts, size, least_depth)
-    pairs = trie.pairs(budget)
-    leaves = {n: k for k, n in enumerate(sorted({n for p in pairs for n in p}))}
-    chunks = {n: -(-trie.size(n) // size) for n in leaves}
-    first, at = {}, 0
-    for n in leaves:
-        first[n], at = at, at + chunks[n]
-    units: list[tuple[int, int, int]] = []
-    unit = 0
-    for a, b in pairs:
-        for i in range(chunks[a]):
-            for j in range(i if a == b else 0, chunks[b]):
-                x, y = first[a] + i, first[b] + j
-                units.append((x, unit, 0 if x != y else 2))
-                if x != y:
-                    units.append((y, unit, 1))
-                unit += 1
-    place = [((n[1] << (TOP - n[0])) + k, first[n], chunks[n]) for n in leaves for k in range(1 << (TOP - n[0]))]
-    if not units:
-        return spark.createDataFrame([], "src long, dst long")
-    places = spark.createDataFrame(place, "p int, first int, chunks int")
-    where = spark.createDataFrame(units, "chunk int, unit int, side int")
-    dealt = (
-        reps.withColumn("p", top)
-        .join(F.broadcast(places), "p")
-        .select("fp", "rep", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("chunks"))).cast("int").alias("chunk"))
-        .join(F.broadcast(where), "chunk")
-        .select("unit", "side", "fp", "rep")
-    )
-    return dealt.groupBy("unit").applyInArrow(_join_leaves(budget), "src long, dst long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, leaf_size: int = 16384) -> DataFrame:
+    if budget > 3:
+        raise ValueError("one bit in a half is enough for a budget of 3 at most")
+    swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    keys = reps.select("rep", F.posexplode(F.array(F.col("fp"), swapped)).alias("turn", "key"))
+    depth = depth_of(reps.count(), leaf_size, least_depth, 32)
+    dealt = deal(keys, ["turn"], depth, leaf_size)
+    return dealt.groupBy("turn", *UNIT).applyInArrow(_join_leaves(budget), "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, leaf_size: int = 4096) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of ``budget`` or fewer bits).
 
-    One row per row of ``docs``. Null and empty texts have fingerprint 0 and are
+    One row per row of ``docs``; a null doc_id has its row and is the component of
+    null ids only. Null and empty texts have fingerprint 0 and are
     linked with each other like any others; fewer words than a shingle make one
     shingle of them all; repeated doc_ids each keep their row; other columns are
     ignored; an empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs, words), "fingerprints")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.col("fp")), "representatives")
     found = connected_components(trie_links(reps, budget, leaf_size))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("class"))
+    lowest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return fps.join(classes.join(lowest, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
