@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.llm import lines, mixing, near_copies, packing, toxicity
 from verbatlas.llm.common import materialise, table
-from verbatlas.llm.queries import LINES, byte_bpe
+from verbatlas.llm.queries import LINES, byte_bpe, document_hosts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that recur over a site; every document stays, ``n_chars`` follows its text."""
-    slim = lines.drop_boilerplate(docs.select(*COLUMNS), site="source", **LINES)
+    slim = lines.drop_boilerplate(docs.select(*COLUMNS), hosts=document_hosts(spark, sf_dir), **LINES)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return slim.select(*COLUMNS[:-1], n_chars.alias("n_chars"))
 
