@@ -55,6 +55,7 @@ def test_pack_is_whole_gapless_and_tight(spark):
     rows = [(i, " ".join(["word"] * int(rng.integers(1, 140)))) for i in range(600)] + [(1000 + i, t) for i, t in enumerate(ODD)]
     docs = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, length int, piece string")
     packed = packing.pack(docs, PATH, 128, shard_items=300).collect()
+    assert any(r.generations and r.gained for r in packed)  # the shards are the work of crossovers
     n = check(rows, packed, 128)
     total = sum(r.length for r in packed)
     assert n <= 1.02 * -(-total // 128) + 3
@@ -75,5 +76,40 @@ def test_crossover_keeps_every_document_once():
     a, b = (packing.best_fit(lengths, rng.permutation(400), 100) for _ in range(2))
     child = packing.crossover(lengths, a, b, 100, rng)
     assert child.min() == 0 and np.bincount(child, lengths).max() <= 100
-    best = packing.evolve(lengths, [a, b], 100, [1])
-    assert packing.fitness(lengths, best) <= min(packing.fitness(lengths, a), packing.fitness(lengths, b))
+    best, begun, _ = packing.evolve(lengths, [a, b], 100, [1])
+    assert packing.fitness(lengths, best) <= min(packing.fitness(lengths, a), packing.fitness(lengths, b)) and best.max() < begun
+
+
+def triplets(n, capacity, seed):
+    """Lengths that fill ``n`` bins exactly, three in each."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(int(0.38 * capacity), int(0.49 * capacity)))
+        b = int(rng.integers(capacity // 4, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return np.array(out)
+
+
+def test_crossover_beats_best_fit_on_a_hard_instance(monkeypatch):
+    lengths = triplets(40, 1000, 0)
+    bins = lambda b: int(b.max()) + 1
+    plain = bins(packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 1000))
+    how = {"population": 8, "generations": 50}
+    real, calls = packing.crossover, []
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or real(*a))
+    best, begun, done = packing.evolve(lengths, [], 1000, [1], **how)
+    assert plain >= 45 and bins(best) <= 44 < begun and np.bincount(best, lengths).max() <= 1000
+    assert done == 50 and len(calls) == 400
+    monkeypatch.setattr(packing, "crossover", lambda lengths, mother, father, capacity, rng: mother.copy())
+    assert bins(packing.evolve(lengths, [], 1000, [1], **how)[0]) == begun
+
+
+def test_islands_migrate_and_report(spark):
+    lengths = triplets(30, 500, 3)
+    items = spark.createDataFrame([(i, 0, int(n), "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, other string")
+    few = {r.doc_id: r for r in packing.group(items, 500, epochs=1, population=6, generations=8).collect()}
+    many = {r.doc_id: r for r in packing.group(items, 500, epochs=5, population=6, generations=8).collect()}
+    bins = lambda rows: len({r.sequence_id for r in rows.values()})
+    plain = int(packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 500).max()) + 1
+    assert len(few) == len(many) == 90 and 30 <= bins(many) <= bins(few) <= plain and bins(many) < plain
+    assert few[0].generations == 3 * 8 and many[0].generations > 24 and many[0].gained > 0

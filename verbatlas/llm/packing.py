@@ -4,8 +4,10 @@ Every document becomes its token ids and an end id. Longer ones are cut into
 pieces of the sequence length, the first being the shorter one; a full piece is a
 sequence of its own. All other pieces are dealt by hash to shards of about
 ``shard_items`` pieces. Each shard is solved by several islands, every one of
-which evolves its own population; between epochs an island's elite moves to the
-next island of the ring. A chromosome is a set of bins, not a list of numbers:
+which evolves a population of its own, from parents that best fit makes of the
+pieces in orders that differ in how far they are from falling length. Between
+epochs an island's elite moves to the next island of the ring. A chromosome is a
+set of bins, not a list of numbers:
 
 - crossover injects whole, well-filled bins of one parent into the other,
 - bins of the other parent that share a document with them are dissolved
@@ -13,8 +15,10 @@ next island of the ring. A chromosome is a set of bins, not a list of numbers:
 - the displaced documents are put back by best fit, longest first.
 
 Fitness is the number of bins, then the sum of squared fillings. An island stops
-at the lower bound ceil(tokens / capacity). Islands, epochs and shards are rows of
-a DataFrame: a lost executor repeats its rows, with the same seeds.
+at the lower bound ceil(tokens / capacity), a shard when one of its islands does.
+Islands, epochs and shards are rows of a DataFrame: a lost executor repeats its
+rows, with the same seeds. A shard of which best fit by falling length alone would
+make fewer bins takes those.
 """
 
 from __future__ import annotations
@@ -181,31 +185,32 @@ def crossover(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capac
     return child
 
 
+def parents(lengths: np.ndarray, capacity: int, count: int, pull: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """Best fit of the pieces in random orders, longer ones earlier the more so the higher ``pull`` (0: any order)."""
+    orders = (np.argsort(-(lengths**pull) * rng.uniform(0, 1, len(lengths)), kind="stable") for _ in range(count))
+    return [best_fit(lengths, order, capacity) for order in orders]
+
+
 def evolve(
-    lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int], population: int = 4, generations: int = 6
-) -> np.ndarray:
-    """The best grouping an island finds: a bin number from 0 on for every length."""
+    lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int], population: int = 4, generations: int = 6, pull: float = 1.0
+) -> tuple[np.ndarray, int, int]:
+    """(grouping, bins of the best parent, generations): the best that an island finds, a bin number from 0 on for every length."""
     if not len(lengths):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), 0, 0
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // capacity)
-    down = np.argsort(-lengths, kind="stable")
-    people = [*elites, best_fit(lengths, down, capacity)] if not elites else list(elites)
-    best = min(people, key=lambda b: fitness(lengths, b))
-    while len(people) < population and fitness(lengths, best)[0] > least:
-        noisy = np.argsort(-lengths * rng.uniform(0.8, 1.0, len(lengths)), kind="stable")
-        people.append(best_fit(lengths, noisy, capacity))
-        best = min(best, people[-1], key=lambda b: fitness(lengths, b))
-    for _ in range(generations):
-        if fitness(lengths, best)[0] <= least:
-            break
+    people = [*elites, *parents(lengths, capacity, max(2, population - len(elites)), pull, rng)]
+    rank = lambda b: fitness(lengths, b)
+    people.sort(key=rank)
+    begun, done = rank(people[0])[0], 0
+    while done < generations and rank(people[0])[0] > least:
         children = []
         for _ in range(population):
-            mother, father = rng.choice(len(people), 2, replace=len(people) < 2)
+            mother, father = rng.choice(len(people), 2, replace=False)
             children.append(crossover(lengths, people[mother], people[father], capacity, rng))
-        people = sorted([*people, *children], key=lambda b: fitness(lengths, b))[:population]
-        best = people[0]
-    return np.unique(best, return_inverse=True)[1]
+        people = sorted([*people, *children], key=rank)[:population]
+        done += 1
+    return np.unique(people[0], return_inverse=True)[1], begun, done
 
 
 def offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -219,24 +224,34 @@ def offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _islands(capacity: int, epoch: int, seed: int):
+def _pull(island: int, islands: int) -> float:
+    """How much length counts in the orders of an island's parents: nothing on the first, more on each that follows."""
+    return island / islands
+
+
+def _islands(capacity: int, epoch: int, seed: int, islands: int, population: int, generations: int):
+    schema = pa.schema([("shard", pa.int32()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("best", pa.list_(pa.int32())), ("cost", pa.int32()), ("least", pa.int32()), ("begun", pa.int32()), ("generations", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            rows = []
             for shard, island, lengths, elites in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                own = [np.array(e, np.int64) for e in elites]
-                found.append(evolve(np.array(lengths, np.int64), own, capacity, [seed, epoch, shard, island]))
-            cost = [int(f.max()) + 1 if len(f) else 0 for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array(cost, pa.int32())],
-                ["shard", "island", "lengths", "best", "cost"],
-            )
+                own, sizes = [np.array(e, np.int64) for e in elites], np.array(lengths, np.int64)
+                best, begun, done = evolve(sizes, own, capacity, [seed, epoch, shard, island], population, generations, _pull(island, islands))
+                rows.append((shard, island, lengths, best.tolist(), int(best.max()) + 1, -(-int(sizes.sum()) // capacity), begun, done))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def group(items: DataFrame, capacity: int = 2048, shard_items: int = 8192, islands: int = 3, epochs: int = 2, seed: int = 11) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``items(doc_id, piece, length, ...)``; lengths from 1 to capacity."""
+def group(
+    items: DataFrame, capacity: int = 2048, shard_items: int = 8192, islands: int = 3, epochs: int = 4, population: int = 4, generations: int = 4, seed: int = 11
+) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to ``items(doc_id, piece, length, ...)``; lengths from 1 to capacity.
+
+    And what the evolution of its shard did: ``generations`` of all its islands,
+    and ``gained``, the bins of the best first parent of the winning island less those of the result.
+    """
     n = items.count()
     shards = max(1, -(-n // shard_items))
     columns = [c for c in items.columns if c not in ("length", "doc_id", "piece")]
@@ -251,39 +266,62 @@ def group(items: DataFrame, capacity: int = 2048, shard_items: int = 8192, islan
         "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").cast("array<int>").alias("lengths"),
         F.array().cast("array<array<int>>").alias("elites"),
     ).repartition(min(4096, shards * islands), "shard", "island")
-    ddl = "shard int, island int, lengths array<int>, best array<int>, cost int"
+    ddl = "shard int, island int, lengths array<int>, best array<int>, cost int, least int, begun int, generations int"
+    history, solved = [], []
     for epoch in range(epochs):
-        if epoch:
-            own = found.select("shard", "island", "lengths", F.col("best").alias("own"))
-            moved = found.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("best").alias("guest"))
-            state = own.join(moved, ["shard", "island"]).select("shard", "island", "lengths", F.array("own", "guest").alias("elites"))
-        found = materialise(state.mapInArrow(_islands(capacity, epoch, seed), ddl), "pack-epoch")
-    best = found.groupBy("shard").agg(F.min_by("best", F.struct("cost", "island")).alias("best"))
+        found = materialise(state.mapInArrow(_islands(capacity, epoch, seed, islands, population, generations), ddl), "pack-epoch")
+        history.append(found.select("shard", "island", "begun", "generations", F.lit(epoch).alias("epoch")))
+        over = found.groupBy("shard").agg(F.min("cost").alias("cost"), F.first("least").alias("least")).where("cost > least").select("shard")
+        solved.append(found.join(over, "shard", "left_anti") if epoch < epochs - 1 else found)
+        if epoch == epochs - 1 or over.isEmpty():
+            break
+        left = found.join(over, "shard", "left_semi")
+        own = left.select("shard", "island", "lengths", F.col("best").alias("own"))
+        moved = left.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("best").alias("guest"))
+        state = own.join(moved, ["shard", "island"]).select("shard", "island", "lengths", F.array("own", "guest").alias("elites"))
+        state = state.repartition(min(4096, shards * islands), "shard", "island")
+    every = solved[0]
+    for more in solved[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("shard").agg(F.min_by(F.struct("lengths", "best", "island"), F.struct("cost", "island")).alias("best")).select("shard", "best.*")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [offsets(np.array(n, np.int64), np.array(x, np.int64)).tolist() for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int64()))], ["shard", "best", "at"])
-
-    lengths = found.where("island = 0").select("shard", "lengths")
-    placed = lengths.join(best, "shard").mapInArrow(place, "shard int, best array<int>, at array<long>")
+            bins, at = [], []
+            for lengths, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                sizes, x = np.array(lengths, np.int64), np.array(x, np.int64)
+                plain = best_fit(sizes, np.argsort(-sizes, kind="stable"), capacity)
+                x = plain if plain.max() < x.max() else x
+                bins.append(x.tolist())
+                at.append(offsets(sizes, x).tolist())
+            cost = [max(x) + 1 for x in bins]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int64())), pa.array(cost, pa.int32()), b.column(3)], ["shard", "best", "at", "cost", "island"])
+
+    done = history[0]
+    for more in history[1:]:
+        done = done.unionByName(more)
+    first = done.where("epoch = 0").select("shard", "island", "begun")
+    total = done.groupBy("shard").agg(F.sum("generations").cast("int").alias("generations"))
+    placed = best.mapInArrow(place, "shard int, best array<int>, at array<long>, cost int, island int").join(first, ["shard", "island"]).join(total, "shard")
     return (
         dealt.join(placed, "shard")
-        .select("shard", F.inline(F.arrays_zip("items", "best", "at")))
-        .select("items.*", (F.col("best").cast("long") * F.lit(shards) + F.col("shard")).alias("sequence_id"), F.col("at").alias("offset"))
+        .select("shard", "generations", (F.col("begun") - F.col("cost")).alias("gained"), F.inline(F.arrays_zip("items", "best", "at")))
+        .select("items.*", (F.col("best").cast("long") * F.lit(shards) + F.col("shard")).alias("sequence_id"), F.col("at").alias("offset"), "generations", "gained")
     )
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, **how: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of ``docs``.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations and gained of every piece of every row of ``docs``.
 
-    A null text counts as empty and is the end id alone; a repeated row is packed
+    The last two tell of the evolution of the piece's shard (see ``group``), and
+    are 0 for full pieces, which need none. A null text counts as empty and is the end id alone; a repeated row is packed
     as often as it is there; other columns are ignored; an empty table gives no
     piece. Full pieces have negative sequence ids, shared ones those from 0 on.
     """
     cut_up = materialise(pieces(docs, tokenizer, size, end_id), "pack-pieces")
     parts = cut_up.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
-    full = parts.where(F.col("length") == size).select(*cut_up.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    none = [F.lit(0).alias("generations"), F.lit(0).alias("gained")]
+    full = parts.where(F.col("length") == size).select(*cut_up.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *none)
     some = materialise(parts.where(F.col("length") < size), "pack-items")
     return group(some, size, **how).select(*full.columns).unionByName(full)
 
