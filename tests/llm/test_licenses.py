@@ -38,5 +38,5 @@ def test_base_and_method_labels(spark):
 
 def test_span_places(spark):
     docs = spark.createDataFrame([(11, TEXTS[11])], "doc_id long, text string")
-    (s,) = licenses.spans(docs).collect()
+    (s,) = licenses.spans(licenses.features(docs)).collect()
     assert (s.first_word, s.last_word, s.label) == (30000, 30007, "apache")

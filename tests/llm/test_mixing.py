@@ -49,3 +49,21 @@ def test_odd_rows(spark):
     assert by[2, 2]._prob == 0  # a language without a share
     assert by[None, 60000]._weight > 0
     assert mixing.mix(spark.createDataFrame([], COLUMNS), TARGETS).collect() == []
+
+
+def test_residual_tells_whether_targets_are_met(spark):
+    rows = [(i, "some words here" + (" | a | b |" if i % 3 == 0 else ""), "en" if i % 2 else "de", f"s{i % 4}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _kept int")
+    met = mixing.Targets(language=(("en", 0.6), ("de", 0.4)), topic=(("prose", 0.7), ("table", 0.3)), rounds=200)
+    got = mixing.mix(docs, met).collect()
+    assert len({r._residual for r in got}) == 1 and got[0]._residual < 1e-9
+    sums = {}
+    for r in got:
+        for k in (r._language, r._topic):
+            sums.setdefault(k, {})[r._source, r._language, r._topic] = r._weight
+    total = sum(w for k in ("en", "de") for w in sums[k].values())
+    assert all(abs(sum(sums[k].values()) / total - share) < 1e-6 for k, share in (("en", 0.6), ("de", 0.4), ("prose", 0.7), ("table", 0.3)))
+    rows = [(i, "some words here" + (" | a | b |" if i % 2 else ""), "en" if i % 2 else "de", "s", 0) for i in range(400)]  # tables are all English
+    open_ = mixing.mix(spark.createDataFrame(rows, docs.schema), met).collect()
+    assert open_[0]._residual > 0.1
+    assert mixing.mix(docs.where("false")).collect() == []

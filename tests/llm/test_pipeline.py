@@ -34,6 +34,7 @@ def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, f"http://h.example.com/en/{5000 + i}") for i in range(9)], "page_id long, url string").write.parquet(f"{path}/pages.parquet")
     return str(path), {r[0]: r for r in rows}, spark
 
 
@@ -71,5 +72,27 @@ def test_stages(folder):
 def test_run_is_the_chain_of_the_stages(folder):
     path, _, spark = folder
     found = corpus_pipeline.run(spark, path)
-    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations", "gained"]
     assert found.count() > 100
+
+
+def test_odd_rows_and_empty_tables(folder, tmp_path):
+    """Nulls in any column, repeated rows, empty and very long texts, extra columns: every stage keeps its columns and loses no clean row but copies."""
+    path, _, spark = folder
+    odd = [(None, None, None, None, None), (None, "a text without an id", "en", None, 3), (1, None, "en", "s", None), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, "word " * 40000, "xx", "s", 1), (4, "tie one", "en", "s", 1), (4, "tie one", "en", "s", 1), (5, "tie two\n\ntie", "", "", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    wide = spark.createDataFrame([(*r, "u", 1, True, "k", 9) for r in odd], f"{schema}, _source string, k1 int, _kept boolean, text_key string, component int")
+    for k, frame in enumerate((wide, wide.where("false"))):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, path)
+            assert docs.columns == corpus_pipeline.COLUMNS
+            docs.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            rows = [(r.doc_id, r.text) for r in docs.collect()]
+            if name in ("toxicity", "line_dedup"):
+                assert len(rows) == (0 if k else len(odd))
+            if name == "simhash_near_dedup" and not k:
+                assert len(rows) == 5 and (4, "tie one") in rows and (None, "a text without an id") in rows
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+        assert len({(r.doc_id, r.piece) for r in packed.collect()}) >= docs.select("doc_id").distinct().count()

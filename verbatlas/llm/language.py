@@ -8,14 +8,16 @@ best of them; ``score`` is the share of that language in the posterior of the me
 word.
 
 The model is fitted on a bounded sample (about ``max_docs`` labelled documents of
-the learning folds, chosen by a hash of doc_id), whole texts each; it keeps the
-``max_words`` most frequent words and ``max_grams`` grams of each order, which
-bounds what is sent to the executors. All rows and whole texts are predicted.
+the learning folds, chosen by a hash of doc_id), whole texts each. Their words are
+counted by the executors; the driver gets the counts of the sample's words, not its
+texts. Every word of the sample is known, and every gram of them: what is sent to
+the executors is bounded by the sample. All rows and whole texts are predicted.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,15 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import held_out, unit_hash
+from verbatlas.llm.common import held_out, learnable, unit_hash
+
+__all__ = ["Model", "fit", "fit_counts", "grams", "held_out", "letters", "predict", "train"]
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 
 
+def _letter_class() -> str:
+    """A character class of what ``\\w`` holds but letters: numbers of all kinds, and the underscore."""
+    odd = [c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    runs = [[odd[0], odd[0]]]
+    for c in odd[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+_WORD = re.compile(rf"[^\W\d_{_letter_class()}]+")
+
+
 def letters(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters (Unicode categories L); other numbers and marks part them."""
     return _WORD.findall((text or "").lower())
 
 
@@ -103,22 +121,16 @@ class Model:
         return self.languages[k], float(1 / np.exp(mean - mean[k]).sum())
 
 
-def fit(samples: Iterable[tuple[str, str | None]], max_words: int = 20_000, max_grams: int = 20_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
-    """A model from (language, text). Frequencies are smoothed by one half of a count."""
-    by: dict[str, Counter] = {}
-    for lang, text in samples:
-        by.setdefault(lang, Counter()).update(letters(text))
+def fit_counts(by: dict[str, Counter], orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
+    """A model from counts of words by language. Frequencies are smoothed by one half of a count."""
     by = {lang: c for lang, c in sorted(by.items()) if c}
     languages = list(by)
 
-    def logs(counts: list[Counter], keep: int) -> tuple[dict[str, int], np.ndarray]:
-        every = Counter()
-        for c in counts:
-            every.update(c)
-        top = sorted(every, key=lambda x: (-every[x], x))[:keep]
+    def logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+        every = sorted(set().union(*counts))
         whole = np.array([c.total() for c in counts], float) + 0.5 * len(every)
-        table = np.array([[c[x] for c in counts] for x in top], float).reshape(len(top), len(counts))
-        return {x: k for k, x in enumerate(top)}, np.log((table + 0.5) / whole)
+        table = np.array([[c[x] for c in counts] for x in every], float).reshape(len(every), len(counts))
+        return {x: k for k, x in enumerate(every)}, np.log((table + 0.5) / whole)
 
     found = {}
     for n in orders:
@@ -127,21 +139,42 @@ def fit(samples: Iterable[tuple[str, str | None]], max_words: int = 20_000, max_
             for w, m in by[lang].items():
                 for g in grams(w, n):
                     c[g] += m
-        found[n] = logs(counts, max_grams)
-    known = {lang: Counter({w: m for w, m in c.items() if m > 1}) for lang, c in by.items()}  # a word seen once says less than its grams
-    return Model(languages, *logs(list(known.values()), max_words), found)
+        found[n] = logs(counts)
+    return Model(languages, *logs(list(by.values())), found)
 
 
-def train(docs: DataFrame, max_docs: int = 4000, seed: int = 5, **how: int) -> Model:
-    """Fit on ``docs(doc_id, text, lang)``: rows of the learning folds with a language and a text."""
-    usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def fit(samples: Iterable[tuple[str, str | None]], orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
+    """A model from (language, text)."""
+    by: dict[str, Counter] = {}
+    for lang, text in samples:
+        by.setdefault(lang, Counter()).update(letters(text))
+    return fit_counts(by, orders)
+
+
+def train(docs: DataFrame, max_docs: int = 4000, seed: int = 5) -> Model:
+    """Fit on ``docs(doc_id, text, lang)``: rows of the learning folds with a language and a text; null ids are in no fold."""
+    usable = docs.select("doc_id", "text", "lang").where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = usable.select("doc_id").count()
-    rows = usable.where(unit_hash(F.col("doc_id"), str(seed)) < min(1.0, max_docs / max(total, 1))).select("lang", "text").toArrow()
-    return fit(((lang.as_py(), text.as_py()) for lang, text in zip(rows.column(0), rows.column(1), strict=True)), **how)
+    sample = usable.where(unit_hash(F.col("doc_id"), str(seed)) < min(1.0, max_docs / max(total, 1))).select(F.col("lang").cast("string").alias("lang"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own.setdefault(lang, Counter()).update(letters(text.as_py()))
+            rows = [(lang, w, n) for lang, c in own.items() for w, n in c.items()]
+            lang, w, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    by: dict[str, Counter] = {}
+    for lang, w, n in zip(*(counted.column(k).to_pylist() for k in range(3)), strict=True):
+        by.setdefault(lang, Counter())[w] = n
+    return fit_counts(by)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row; ``und`` and 0 for null texts and those without a letter.
+    """doc_id, lang_pred, score of every row, repeated ones too; ``und`` and 0 for null texts and those without a letter.
 
     Ties go to the language that is first by name; without any training text all
     is ``und``; other columns are ignored.

@@ -1,13 +1,14 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every rolling k-gram of words of every whole text is hashed and joined to the
-k-gram hashes of the license templates, a fixed small table that is broadcast. A
-match at word d of a text and word t of a template votes for the diagonal d - t.
+Every rolling k-gram of words of every whole text is hashed; those that some
+template has (a fixed small set, tested within the row) are kept with their places
+and joined to the template positions, a small table that is broadcast. A match at
+word d of a text and word t of a template votes for the diagonal d - t.
 Votes are added up by (text, template, diagonal); diagonals at most ``gap`` apart
 are merged, so inserted or lost words don't break a span; a merged span is
 verified if it covers enough of the template's k-grams and isn't much longer than
-the template. The k-grams are made and probed in one generated stage without any
-shuffle; only matches are grouped.
+the template. Words are made once a text, in one pass without any shuffle, which
+writes a narrow row a text; only matches become rows of their own and are grouped.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verbatlas.llm.common import materialise
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Notices as their publishers word them.
@@ -101,17 +104,24 @@ def template_grams(spark, templates=TEMPLATES, k: int = 4) -> DataFrame:
     return spark.createDataFrame(rows, ddl).select(F.xxhash64(*(f"w{i}" for i in range(k))).alias("gram"), "template", "label", "t", "size", "grams")
 
 
-def spans(docs: DataFrame, templates=TEMPLATES, how: Voting = Voting()) -> DataFrame:
-    """Verified spans: key (hash of doc_id and text), label, template, first_word, last_word, cover."""
+def features(docs: DataFrame, templates=TEMPLATES, how: Voting = Voting()) -> DataFrame:
+    """One narrow row a row of ``docs``: key, doc_id, n_words, base hits, and (d, gram) of the k-grams that a template has."""
+    spark, k = docs.sparkSession, how.k
+    known = [r["gram"] for r in template_grams(spark, templates, k).select("gram").distinct().collect()]  # as many as the templates have
+    gram = lambda d: F.xxhash64(*(F.get("ws", d + i) for i in range(k)))
+    none = F.array().cast("array<struct<d:int,gram:bigint>>")
+    places = F.filter(F.sequence(F.lit(0), F.size("ws") - k), lambda d: gram(d).isin(known))
+    matched = F.when((F.size("ws") >= k) & F.lit(bool(known)), F.transform(places, lambda d: F.struct(d.alias("d"), gram(d).alias("gram")))).otherwise(none)
+    ws = docs.select("doc_id", "text", words(F.col("text")).alias("ws"))
+    found = ws.select("doc_id", F.size("ws").cast("long").alias("n_words"), base_places(F.col("text"), F.col("ws")).alias("hits"), matched.alias("matched"))
+    return materialise(found.withColumn("key", F.monotonically_increasing_id()), "license-features")
+
+
+def spans(found: DataFrame, templates=TEMPLATES, how: Voting = Voting()) -> DataFrame:
+    """Verified spans of ``features``: key, label, template, first_word, last_word, cover."""
     k = how.k
-    gram = F.xxhash64("w", *(F.get("ws", F.col("d") + i) for i in range(1, k)))
-    grams = (
-        docs.select(F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("ws"))
-        .select("key", "ws", F.posexplode("ws").alias("d", "w"))
-        .where(F.col("d") <= F.size("ws") - k)
-        .select("key", "d", gram.alias("gram"))
-    )
-    votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "gram")
+    grams = found.where(F.size("matched") > 0).select("key", F.inline("matched"))
+    votes = grams.join(F.broadcast(template_grams(found.sparkSession, templates, k)), "gram")
     diagonals = (
         votes.groupBy("key", "template", "label", "size", "grams", (F.col("d") - F.col("t")).alias("diagonal"))
         .agg(F.collect_set("t").alias("ts"), F.min("d").alias("low"), F.max("d").alias("high"))
@@ -140,13 +150,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, how: Voting = Voting()) -> DataFr
     text counts as empty: no words, no labels. Rows that repeat fare alike; other
     columns are ignored; no rows give no rows.
     """
-    found = spans(docs, templates, how).groupBy("key").agg(F.collect_set("label").alias("own"), F.max("cover").alias("cover"))
-    w = words(F.col("text"))
-    base = (
-        docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", w.alias("ws"))
-        .select("key", "doc_id", F.size("ws").cast("long").alias("n_words"), base_places(F.col("text"), F.col("ws")).alias("hits"))
-        .select("key", "doc_id", "n_words", "hits", F.array_distinct("hits.label").alias("base"))
-    )
+    every = features(docs, templates, how)
+    found = spans(every, templates, how).groupBy("key").agg(F.collect_set("label").alias("own"), F.max("cover").alias("cover"))
+    base = every.select("key", "doc_id", "n_words", "hits", F.array_distinct("hits.label").alias("base"))
     text = lambda labels: F.array_join(F.array_sort(labels), ",")
     none = F.array().cast("array<string>")
     return base.join(found, "key", "left").select(

@@ -21,7 +21,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import materialise, unit_hash
+from verbatlas.llm.common import drop_tables, materialise, unit_hash
 
 OTHER = "other"
 
@@ -96,18 +96,21 @@ def cells(features: DataFrame, targets: Targets) -> tuple[DataFrame, list[tuple[
     return materialise(wide.withColumn("want", F.pow(_total([F.col(f"t{k}") for k in range(len(grid))]), F.lit(targets.source_power))), "mix-cells"), grid
 
 
-def rake(wide: DataFrame, grid: list[tuple[str, str]], targets: Targets) -> tuple[dict[tuple[str, str], float], float]:
-    """Factors of the (language, topic) columns, and the scale of the sources' targets.
+def rake(wide: DataFrame, grid: list[tuple[str, str]], targets: Targets) -> tuple[dict[tuple[str, str], float], float, float]:
+    """Factors of the (language, topic) columns, the scale of the sources' targets, and the residual.
 
     At most ``targets.rounds`` rounds of source, language, topic; the last is one that
-    changes no factor by more than 1e-12 of it. A category that has a
-    target but no tokens is left out, as nothing can stand for it.
+    changes no factor by more than 1e-12 of it. The residual is by how much, as a
+    share, the last round still changed a factor: targets that no weights can meet
+    together (a language without a topic that it would need) leave one behind. A
+    category that has a target but no tokens is left out, as nothing can stand for it.
     """
     lang, top = _shares(targets.language), _shares(targets.topic)
     b, c = dict.fromkeys(lang, 1.0), dict.fromkeys(top, 1.0)
     whole = wide.agg(F.sum("want")).first()[0] or 0.0
     if not whole:
-        return dict.fromkeys(grid, 0.0), 1.0
+        return dict.fromkeys(grid, 0.0), 1.0, 0.0
+    worst = 0.0
     for _ in range(targets.rounds):
         row_sum = _total([F.col(f"t{k}") * F.lit(b[x] * c[y]) for k, (x, y) in enumerate(grid)])
         factor = F.when(row_sum > 0, F.col("want") / F.lit(whole) / row_sum).otherwise(0.0)
@@ -126,7 +129,7 @@ def rake(wide: DataFrame, grid: list[tuple[str, str]], targets: Targets) -> tupl
             held = {g: s * ratio[g[at]] for g, s in held.items()}
         if worst < 1e-12:
             break
-    return {(x, y): b[x] * c[y] for x, y in grid}, whole
+    return {(x, y): b[x] * c[y] for x, y in grid}, whole, worst
 
 
 def calibrate(wide: DataFrame, grid: list[tuple[str, str]], factors: dict[tuple[str, str], float], whole: float, budget: float) -> DataFrame:
@@ -151,7 +154,7 @@ def calibrate(wide: DataFrame, grid: list[tuple[str, str]], factors: dict[tuple[
     )
     want = budget * (long.agg(F.sum("tokens")).first()[0] or 0.0)
     scale = 0.0
-    for _ in range(100):
+    while True:  # each pass takes at least one more cell to probability 1
         full = F.col("rate") * F.lit(scale) >= 1
         held, rest = long.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("rate")))).first()
         new = (want - (held or 0.0)) / rest if rest else scale
@@ -170,35 +173,50 @@ def _features(docs: DataFrame, targets: Targets) -> list[Column]:
     ]
 
 
-def mix(docs: DataFrame, targets: Targets = DEFAULT, seed: int = 17) -> DataFrame:
-    """All rows and columns of ``docs`` plus _source, _language, _topic, _tokens, _weight, _prob and _kept.
+MADE = ["_source", "_language", "_topic", "_tokens", "_weight", "_prob", "_kept", "_residual"]
 
-    ``_weight`` is the raked share of the row's cell, ``_prob`` the probability of
-    the row, ``_kept`` whether it is drawn: a hash of doc_id and ``seed`` lies below
-    ``_prob``, so a run can be repeated and equal ids fare alike. Rows without
-    tokens (null, empty, blank) weigh nothing in the mix and are kept with
-    probability ``targets.budget``. Null sources are the source '', null or
-    undeclared languages are ``other``.
-    """
-    made = ["_source", "_language", "_topic", "_tokens", "_weight", "_prob", "_kept"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
-    marks = _features(docs, targets)
-    narrow = materialise(docs.select(*marks).where("_tokens > 0").toDF("source", "language", "topic", "tokens").groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")), "mix-counts")
+
+def mark(docs: DataFrame, targets: Targets = DEFAULT, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and what the mix needs of each row, computed in one pass and written down."""
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() not in MADE]
+    return materialise(docs.select(*(F.col(f"`{c}`") for c in keep), *_features(docs, targets)), "mix-marks")
+
+
+def draw(marked: DataFrame, targets: Targets = DEFAULT, seed: int = 17) -> DataFrame:
+    """``marked`` with _weight, _prob, _kept and _residual; see ``mix``."""
+    narrow = materialise(marked.where("_tokens > 0").groupBy(F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mix-counts")
     wide, grid = cells(narrow, targets)
-    factors, whole = rake(wide, grid, targets)
+    factors, whole, residual = rake(wide, grid, targets)
     probs = materialise(calibrate(wide, grid, factors, whole, targets.budget), "mix-probs").toDF("_source", "_language", "_topic", "_weight", "_prob")
-    joined = docs.select("*", *marks).join(probs, ["_source", "_language", "_topic"], "left")
+    drop_tables(marked.sparkSession, narrow, wide)
+    joined = marked.join(probs, ["_source", "_language", "_topic"], "left")
     prob = F.when(F.col("_tokens") > 0, F.coalesce("_prob", F.lit(0.0))).otherwise(F.lit(targets.budget))
     return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns), "_source", "_language", "_topic", "_tokens",
+        *(F.col(f"`{c}`") for c in marked.columns if c not in MADE), "_source", "_language", "_topic", "_tokens",
         F.when(F.col("_tokens") > 0, F.coalesce("_weight", F.lit(0.0))).otherwise(0.0).alias("_weight"),
         prob.alias("_prob"),
         (unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), str(seed)) < prob).alias("_kept"),
+        F.lit(residual).alias("_residual"),
     )
 
 
-def sql(targets: Targets = DEFAULT, seed: int = 17, passes: int = 12) -> str:
-    """The same in DuckDB over ``documents``: doc_id, source, language, topic, tokens, weight, prob, kept.
+def mix(docs: DataFrame, targets: Targets = DEFAULT, seed: int = 17) -> DataFrame:
+    """All rows and columns of ``docs`` plus _source, _language, _topic, _tokens, _weight, _prob, _kept and _residual.
+
+    ``_weight`` is the raked share of the row's cell, ``_prob`` the probability of
+    the row, ``_kept`` whether it is drawn: a hash of doc_id and ``seed`` lies below
+    ``_prob``, so a run can be repeated and equal ids fare alike. ``_residual`` is
+    the same on all rows: what raking left open (see ``rake``), 0 or next to it if
+    the targets are met. Rows without tokens (null, empty, blank) weigh nothing in
+    the mix and are kept with probability ``targets.budget``. Null sources are the
+    source '', null or undeclared languages are ``other``. Columns of ``docs`` with
+    any of these names are replaced.
+    """
+    return draw(mark(docs, targets), targets, seed)
+
+
+def sql(targets: Targets = DEFAULT, seed: int = 17, passes: int = 25) -> str:
+    """The same in DuckDB over ``documents``: doc_id, source, language, topic, tokens, weight, prob, kept, residual.
 
     Rounds of raking are a recursive table of one row, the factors as lists; so are the passes of the scale.
     """
@@ -233,12 +251,14 @@ WITH marked AS MATERIALIZED (
   SELECT source, language, topic, tokens, pow(own, {targets.source_power!r}) / (SELECT sum(pow(o, {targets.source_power!r})) FROM (SELECT sum(tokens) AS o FROM marked WHERE tokens > 0 GROUP BY source)) AS want
   FROM (SELECT *, sum(tokens) OVER (PARTITION BY source) AS own FROM (
     SELECT source, language, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM marked WHERE tokens > 0 GROUP BY ALL))
-), {', '.join(steps)}, probs AS (
+), {', '.join(steps)}, open AS (
+  SELECT coalesce(max(abs(ratio - 1)), 0) AS residual FROM (SELECT ratio FROM l{targets.rounds} UNION ALL SELECT ratio FROM t{targets.rounds}) WHERE ratio > 0
+), probs AS (
   SELECT source, language, topic, tokens * rate AS weight, least(1.0, rate * z) AS prob FROM rates, z{passes}
 )
 SELECT doc_id, source, language, topic, m.tokens, round(CASE WHEN m.tokens > 0 THEN weight ELSE 0 END, 9) AS weight,
        round(CASE WHEN m.tokens > 0 THEN prob ELSE {targets.budget!r} END, 9) AS prob,
        CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0
-         < CASE WHEN m.tokens > 0 THEN prob ELSE {targets.budget!r} END AS kept
+         < CASE WHEN m.tokens > 0 THEN prob ELSE {targets.budget!r} END AS kept, (SELECT round(residual, 6) FROM open) AS residual
 FROM marked m LEFT JOIN probs USING (source, language, topic)
 """

@@ -10,10 +10,10 @@ from verbatlas.llm.common import held_out, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
+    found = mixing.draw(mixing.mark(table(spark, sf_dir, "documents"), columns=["doc_id"]))
     return found.select(
         "doc_id", F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
-        F.round("_weight", 9).alias("weight"), F.round("_prob", 9).alias("prob"), F.col("_kept").alias("kept"),
+        F.round("_weight", 9).alias("weight"), F.round("_prob", 9).alias("prob"), F.col("_kept").alias("kept"), F.round("_residual", 6).alias("residual"),
     )
 
 
