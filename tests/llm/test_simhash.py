@@ -93,24 +93,6 @@ def test_trie_join_equals_all_pairs_on_dense_values():
     assert set(own.values()) == {1}
 
 
-def test_leaf_pairs_of_the_trie_lose_nothing():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(0, 3, 4096) * (rng.random(4096) < 0.1)
-    counts[7] = 900
-    trie = simhash.Trie(counts, 40, 2)
-    pairs = set(trie.pairs(3))
-    leaf = {}
-    for a, b in pairs:
-        for d, p in (a, b):
-            for k in range(p << 12 - d, p + 1 << 12 - d):
-                leaf[k] = (d, p)
-    there = np.flatnonzero(counts)
-    for x in map(int, there):
-        for y in map(int, there):
-            if x <= y and (x ^ y).bit_count() <= 3:
-                assert (leaf[x], leaf[y]) in pairs or (leaf[y], leaf[x]) in pairs
-
-
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
