@@ -259,8 +259,8 @@ def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Ta
     )
     parts = F.greatest(F.ceil(F.count("*") / how.block_rows), F.ceil(F.sum("n") / how.block_shingles)).cast("int")
     large = members.groupBy("component").agg(parts.alias("blocks")).where("blocks > 1")
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, total * 4 // how.block_shingles)
+    total, rows = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets = max(1, total * 4 // how.block_shingles, rows * 8 // how.block_rows)
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
