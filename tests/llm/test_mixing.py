@@ -54,9 +54,9 @@ def test_odd_rows(spark):
 def test_residual_tells_whether_targets_are_met(spark):
     rows = [(i, "some words here" + (" | a | b |" if i % 3 == 0 else ""), "en" if i % 2 else "de", f"s{i % 5}", 0) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _kept int")
-    met = mixing.Targets(language=(("en", 0.6), ("de", 0.4)), topic=(("prose", 0.7), ("table", 0.3)), rounds=200)
+    met = mixing.Targets(language=(("en", 0.6), ("de", 0.4)), topic=(("prose", 0.7), ("table", 0.3)), rounds=12)
     got = mixing.mix(docs, met).collect()
-    assert len({r._residual for r in got}) == 1 and got[0]._residual < 1e-9
+    assert len({r._residual for r in got}) == 1 and got[0]._residual < 1e-6
     sums = {}
     for r in got:
         for k in (r._language, r._topic):
