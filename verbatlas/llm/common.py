@@ -10,13 +10,30 @@ from pyspark.sql import functions as F
 
 from verbatlas.sources.scratch import drop_tables, materialise, new_path, shared_dir
 
-__all__ = ["Forest", "connected_components", "drop_tables", "fold_ascii", "fresh", "held_out", "learnable", "materialise", "new_path", "shared_dir", "table", "unit_hash"]
+__all__ = ["Forest", "bounded_batches", "connected_components", "drop_tables", "fold_ascii", "fresh", "held_out", "learnable", "materialise", "new_path", "shared_dir", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to Python: a task holds a few of them, however long the texts are.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches cut at ``BATCH_BYTES`` unless the session already names a size of its own.
+
+    By rows alone a batch holds 10,000 whole texts, which for long texts is more than
+    a worker can hold. The setting stays with the session, as plans are run later.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """Column names that no column of a table has, whatever its case: the given ones, with underscores in front as needed."""
     used, out = {c.lower() for c in taken}, []

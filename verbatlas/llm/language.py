@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import held_out, learnable, unit_hash
+from verbatlas.llm.common import bounded_batches, held_out, learnable, unit_hash
 
 __all__ = ["Model", "fit", "fit_counts", "grams", "held_out", "letters", "predict", "train"]
 
@@ -166,7 +166,7 @@ def train(docs: DataFrame, max_docs: int = 4000, seed: int = 5) -> Model:
             lang, w, n = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counted = bounded_batches(sample).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     by: dict[str, Counter] = {}
     for lang, w, n in zip(*(counted.column(k).to_pylist() for k in range(3)), strict=True):
         by.setdefault(lang, Counter())[w] = n
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [m.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import Forest, connected_components, fresh, materialise
+from verbatlas.llm.common import Forest, bounded_batches, connected_components, fresh, materialise
 from verbatlas.llm.lattice import _mix
 from verbatlas.llm.simhash import _BITS, _PLACE, UNIT, deal, depth_of, shingle_hashes, similar
 
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rep, pa.array(sig, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "text_key", "rep", "sig", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, rep long, sig binary, n long")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, text_key long, rep long, sig binary, n long")
 
 
 def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -269,7 +269,7 @@ def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Ta
             yield pa.RecordBatch.from_arrays([*b.columns[1:], held], ["rep", "sig", "component", "shingles"])
 
     whole = members.join(texts, "text_key").select(F.col("text").cast("binary").alias("text"), "rep", "sig", "component")
-    whole = whole.mapInArrow(sets, "rep long, sig binary, component long, shingles binary")
+    whole = bounded_batches(whole).mapInArrow(sets, "rep long, sig binary, component long, shingles binary")
     block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         whole.join(large, "component", "left")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import materialise
+from verbatlas.llm.common import bounded_batches, materialise
 
 #: Characters whose classes are the same in every Unicode table and regex library.
 _PLAIN = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f\\u2010-\\u2027\\u20ac]")
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, w
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, ddl)
 
 
 # -- the grouping genetic algorithm on one shard ---------------------------------

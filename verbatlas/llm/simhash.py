@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import connected_components, materialise
+from verbatlas.llm.common import bounded_batches, connected_components, materialise
 
 #: Over-full nodes up to which their table (24 bytes a row) is broadcast; more of them are joined by a shuffle.
 FEW_NODES = 100_000
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def depth_of(rows: int, leaf_size: int, least: int, half: int) -> int:

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import drop_tables, learnable, materialise, unit_hash
+from verbatlas.llm.common import bounded_batches, drop_tables, learnable, materialise, unit_hash
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 50_000
 
 
 #: So many different words of a text must share a beginning for each of its features.
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     chosen = marks.where(F.col("toxic") == 1).where(pick("p", max_positive, toxic)).select("doc_id")  # about max_positive ids
     positive = own.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(1).alias("p"))
     unlabelled = own.where(pick("u", max_unlabelled, total)).select("text", F.lit(0).alias("p"))
-    sample = materialise(positive.union(unlabelled), "toxicity-sample")
+    sample = bounded_batches(materialise(positive.union(unlabelled), "toxicity-sample"))
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.fromiter((model.score(t.as_py()) for t in b.column(1)), np.float64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -237,4 +237,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.fromiter((model.decision(t.as_py()) < 0 for t in b.column(at)), bool, b.num_rows)
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
