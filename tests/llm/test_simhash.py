@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -93,6 +94,16 @@ def test_trie_join_equals_all_pairs_on_dense_values():
     assert set(own.values()) == {1}
 
 
+def test_trie_join_holds_a_bounded_number_of_pairs():
+    a = np.unique(np.random.default_rng(2).integers(0, 1 << 24, 1 << 16, dtype=np.uint64) << np.uint64(40))
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in simhash.similar(a, None, 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > len(a) // 2
+    assert most < 32 << 20
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import Forest, bounded_batches, connected_components, fresh, materialise
+from verbatlas.llm.common import Forest, bounded_batches, connected_components, fresh, lean, materialise
 from verbatlas.llm.lattice import _mix
 from verbatlas.llm.simhash import _BITS, _PLACE, UNIT, deal, depth_of, shingle_hashes, similar
 
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rep, pa.array(sig, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "text_key", "rep", "sig", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, text_key long, rep long, sig binary, n long")
+    return bounded_batches(rows).mapInArrow(lean(run), "doc_id long, text_key long, rep long, sig binary, n long")
 
 
 def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -115,7 +115,7 @@ def table_keys(reps: DataFrame, how: Tables) -> DataFrame:
                 key = np.packbits(whole, axis=1).view(">u8").ravel().astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key.view(np.int64)), b.column(0), b.column(1)], ["tab", "key", "rep", "sig"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "tab int, key long, rep long, sig binary")
+    return reps.select("rep", "sig").mapInArrow(lean(run), "tab int, key long, rep long, sig binary")
 
 
 def link_unit(key: np.ndarray, sig: np.ndarray, side: np.ndarray, budget: int, most: int, step: int = 1 << 16) -> np.ndarray:
@@ -196,7 +196,7 @@ def links(reps: DataFrame, how: Tables) -> DataFrame:
         keys = keys.withColumn("key", F.explode(F.array(F.struct(F.lit(0).alias("turn"), "key"), F.struct(F.lit(1).alias("turn"), swapped.alias("key")))))
         keys = keys.select("tab", "rep", "sig", "key.turn", "key.key")
     dealt = deal(keys, ["tab", "turn"], depth, how.leaf_size)
-    return dealt.groupBy("tab", "turn", *UNIT).applyInArrow(_join_leaves(how), "src long, dst long")
+    return dealt.groupBy("tab", "turn", *UNIT).applyInArrow(lean(_join_leaves(how)), "src long, dst long")
 
 
 def verify_unit(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float) -> np.ndarray:
@@ -269,7 +269,7 @@ def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Ta
             yield pa.RecordBatch.from_arrays([*b.columns[1:], held], ["rep", "sig", "component", "shingles"])
 
     whole = members.join(texts, "text_key").select(F.col("text").cast("binary").alias("text"), "rep", "sig", "component")
-    whole = bounded_batches(whole).mapInArrow(sets, "rep long, sig binary, component long, shingles binary")
+    whole = bounded_batches(whole).mapInArrow(lean(sets), "rep long, sig binary, component long, shingles binary")
     block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         whole.join(large, "component", "left")
@@ -281,7 +281,7 @@ def exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, how: Ta
         .withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod("unit", F.lit(buckets))).otherwise(F.col("unit")))
         .select("bucket", "unit", "side", "rep", "sig", "shingles")
     )
-    return dealt.groupBy("bucket").applyInArrow(_verify(how), "src long, dst long")
+    return dealt.groupBy("bucket").applyInArrow(lean(_verify(how)), "src long, dst long")
 
 
 def _classes(docs: DataFrame, how: Tables) -> tuple[DataFrame, DataFrame]:

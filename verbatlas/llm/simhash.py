@@ -106,11 +106,12 @@ def deal(rows: DataFrame, trie: list[str], depth: int, leaf_size: int) -> DataFr
     ).drop("p", "q", "own", "other", "own_n", "other_n")
 
 
-def similar(a: np.ndarray, b: np.ndarray | None, budget: int, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def similar(a: np.ndarray, b: np.ndarray | None, budget: int, step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i into a, j into b) of sorted, distinct uint64 values at Hamming distance <= budget.
 
     ``b`` None joins a with itself (i < j). Both tries are walked together in
-    frontiers of at most about ``step`` node pairs, depth first, so memory is bounded.
+    frontiers of at most about ``step`` node pairs, depth first, and the values below
+    small ones are compared about ``step`` pairs at a time, so memory is bounded.
     """
     own = b is None
     b = a if own else b
@@ -138,8 +139,10 @@ def similar(a: np.ndarray, b: np.ndarray | None, budget: int, step: int = 1 << 1
         if small.any():
             sl, sh, tl, th = la[small], ha[small], lb[small], hb[small]
             n = ((sh - sl) * (th - tl)).astype(np.int64)
-            for at in range(0, len(n), step):
-                part = slice(at, at + step)
+            total, end = np.cumsum(n), 0
+            while end < len(n):
+                at, end = end, max(end + 1, int(np.searchsorted(total, (total[end - 1] if end else 0) + step, side="right")))
+                part = slice(at, end)
                 m = n[part]
                 which = np.repeat(np.arange(len(m)), m)
                 k = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)

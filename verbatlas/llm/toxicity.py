@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import bounded_batches, drop_tables, learnable, materialise, unit_hash
+from verbatlas.llm.common import bounded_batches, drop_tables, lean, learnable, materialise, unit_hash
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 50_000
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
             names = list(own_counts[0] | own_counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([own_counts[p][f] for f in names], pa.int64()) for p in (1, 0))], ["feature", "n_p", "n_u"])
 
-    counted = sample.mapInArrow(count, "feature string, n_p long, n_u long").groupBy("feature").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u"))
+    counted = sample.mapInArrow(lean(count), "feature string, n_p long, n_u long").groupBy("feature").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u"))
     good = counted.where((F.col("n_p") >= least) & stands_apart(F.col("n_p") / n_p, F.col("n_u") / n_u, n_p, n_u, apart)).select("feature")
     names = sorted(good.toArrow().column(0).to_pylist())
     index = {f: k for k, f in enumerate(names)}
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
             found = [sorted(index[f] for f in document_features(t.as_py()) if f in index) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["p", "places"])
 
-    got = sample.mapInArrow(place, "p int, places array<int>").toArrow()
+    got = sample.mapInArrow(lean(place), "p int, places array<int>").toArrow()
     drop_tables(docs.sparkSession, sample)
     which, places = got.column("p").to_numpy(), got.column("places").to_pylist()
     rows = [Rows.of(sorted(x for x, q in zip(places, which, strict=True) if q == p)) for p in (1, 0)]  # in an order that no partition decides
@@ -237,4 +237,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.fromiter((model.decision(t.as_py()) < 0 for t in b.column(at)), bool, b.num_rows)
             yield b.filter(pa.array(keep))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(lean(run), docs.schema)
