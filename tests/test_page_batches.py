@@ -1,12 +1,14 @@
-"""Pages and texts go to Python in batches of few bytes."""
+"""Pages and texts go to Python in batches of few bytes, and are parsed once."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from verbatlas.functions import html
 from verbatlas.plans import catalogue
+from verbatlas.sources import pages
 from verbatlas.sources.batches import BATCH_BYTES
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -19,7 +21,7 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["html_blocks", "html_verse_classes", "html_verse_bare", "html_data_usfm"])
+@pytest.mark.parametrize("name", ["html_blocks", "html_verse_classes", "html_verse_bare", "html_data_usfm", "scrape_records", "scrape_records_partly", "scrape_failures", "scrape_failures_head"])
 def test_batches_of_pages_are_bounded(spark, tables, name):
     own = spark.newSession()
     catalogue.QUERIES[name](own, tables).collect()
@@ -37,3 +39,16 @@ def test_a_batch_is_done_before_the_next_is_taken():
     for k, got in enumerate(html._verses.func(batches())):
         assert taken == list(range(k + 1))
         assert got.to_pylist() == [html.verses(block.format(k)), []]
+
+
+def test_pages_are_parsed_once_for_their_records(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def fetch(k):
+        seen.add(1)
+        return f"<p>a verse of more than twenty-five characters, {k}</p>"
+
+    raw = spark.range(40).repartition(4).select(F.col("id").alias("ord"), F.lit("u").alias("url"), fetch("id").alias("html"))
+    assert pages.records(pages.extract(raw), date="2026-01-01").count() == 40
+    assert seen.value == 40

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from verbatlas.functions.html import html_verses
 from verbatlas.functions.text import clean_verse
 from verbatlas.operators.ranking import global_rank
+from verbatlas.sources.batches import bounded_batches
+from verbatlas.sources.scratch import materialise
 
 # Book codes with their numbers of chapters, the address of a chapter, and what a request says of its sender.
 BOOKS = (
@@ -82,15 +84,18 @@ def extract(pages: DataFrame, ord: str = "ord", least: int = 10) -> DataFrame:
     """Adds ``verses`` (cleaned, over ``least`` characters) and ``reason`` (null for success) to pages(ord, url, html[, error])."""
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     found = F.filter(F.transform(F.col("_raw"), clean_verse), lambda v: F.length(v) > least)
-    out = pages.withColumn("_raw", html_verses(F.col("html"))).withColumn("verses", found).drop("_raw")
+    out = bounded_batches(pages).withColumn("_raw", html_verses(F.col("html"))).withColumn("verses", found).drop("_raw")
     return out.withColumn("reason", F.when(error.isNotNull(), error).when(F.size("verses") == 0, "no verses parsed"))
 
 
 def records(extracted: DataFrame, ord: str = "ord", date=None) -> DataFrame:
-    """(id, url, date_retrieved, raw_text): ids are dense over the successes, in page order."""
+    """(id, url, date_retrieved, raw_text): ids are dense over the successes, in page order.
+
+    Pages are parsed once: their texts are written before the sort, which reads its input twice, and before the filter.
+    """
     day = F.date_format(F.current_date(), "yyyy-MM-dd") if date is None else F.lit(date)
-    good = extracted.where("reason IS NULL").select(ord, "url", F.array_join("verses", " ").alias("raw_text"))
-    return global_rank(good, F.asc(ord), name="id").select("id", "url", day.alias("date_retrieved"), "raw_text")
+    texts = materialise(extracted.select(ord, "url", "reason", F.array_join("verses", " ").alias("raw_text")), "page-texts")
+    return global_rank(texts.where("reason IS NULL").drop("reason"), F.asc(ord), name="id").select("id", "url", day.alias("date_retrieved"), "raw_text")
 
 
 def failures(extracted: DataFrame, first: int | None = None, ord: str = "ord") -> DataFrame:
