@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verbatlas.operators import validate
+from verbatlas.plans import catalogue
 from verbatlas.sources import sinks
 
 SCHEMA = "doc_id long, sent_id int, tokens array<string>"
@@ -30,3 +32,13 @@ def test_a_corpus_is_made_once_to_be_written_in_order(spark, tmp_path, monkeypat
     files = [f.read_text().splitlines() for f in sorted((tmp_path / "c").glob("part*"))]
     assert [line for f in files for line in f] == [" ".join(t) for _, _, t in made]
     assert max(map(len, files)) <= 7
+
+
+def test_a_corpus_is_checked_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "One two three. Four five six.", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.corpus_is_clean(spark, str(tmp_path))
+    assert tuple(got.first()) == (2, 0, 0)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    lines = spark.createDataFrame([(v,) for v in ["a  b", " a\t", "", "a b"]], "value string").withColumn("line_no", F.lit(1))
+    found = lines.where("value <> ''").agg(F.sum(F.size(validate.line_problems(F.col("value"))))).first()[0]
+    assert found == validate.corpus_format(lines).count() == 4  # two spaces; one space ahead, which leaves an empty piece, and a tab

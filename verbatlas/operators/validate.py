@@ -10,12 +10,8 @@ from verbatlas.sources.records import read_lines
 REQUIRED = ("id", "url", "date_retrieved", "raw_text")
 
 
-def corpus_format(lines: DataFrame, line_no: str = "line_no", value: str = "value", labels: str = "module") -> DataFrame:
-    """(line_no, problem); one line may have several. Blank lines are skipped.
-
-    ``labels``: ``module`` names five problems, ``notebook`` merges them into three.
-    """
-    s = F.col(value)
+def line_problems(s: Column, labels: str = "module") -> Column:
+    """Array of the problems of a line that is not blank, by ``corpus_format``'s labels."""
     double = F.array_contains(F.split(s, " ", -1), "")
     head, tail, tab, cr = s.startswith(" "), s.endswith(" "), s.contains("\t"), s.contains("\r")
     checks = (
@@ -23,8 +19,16 @@ def corpus_format(lines: DataFrame, line_no: str = "line_no", value: str = "valu
         if labels == "module"
         else [(double, "double space"), (head | tail, "edge space"), (tab | cr, "tab or CR")]
     )
-    found = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in checks)))
-    return lines.where(F.length(s) > 0).select(line_no, F.explode(found).alias("problem"))
+    return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in checks)))
+
+
+def corpus_format(lines: DataFrame, line_no: str = "line_no", value: str = "value", labels: str = "module") -> DataFrame:
+    """(line_no, problem); one line may have several. Blank lines are skipped.
+
+    ``labels``: ``module`` names five problems, ``notebook`` merges them into three.
+    """
+    s = F.col(value)
+    return lines.where(F.length(s) > 0).select(line_no, F.explode(line_problems(s, labels)).alias("problem"))
 
 
 def record_schema(lines: DataFrame, value: str = "value", *keep: str) -> DataFrame:
