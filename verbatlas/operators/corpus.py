@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import text as T
 
-#: Bytes of input a core from which on a table is taken to have splits enough.
-SPLIT_BYTES = 128 << 20
+#: Bytes of input that a task works on, and bytes from which on a table is taken to have no known size.
+TASK_BYTES, UNKNOWN_BYTES = 16 << 20, 1 << 42
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores if it is too small to have a split of its own for each of them.
+    """``df``, dealt into pieces of about ``TASK_BYTES``, one for each core at least.
 
-    A file of one row group is one task however many splits it is cut into. At most
-    ``SPLIT_BYTES`` a core are moved; larger tables stay as they are.
+    A file of one row group is one task however many splits it is cut into, so the
+    longest task would grow with the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    if size >= UNKNOWN_BYTES:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def split_docs(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
