@@ -7,6 +7,8 @@ U+0300 on: below that every string is its own NFC form.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +32,15 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{300}-\x{10FFFF}]"), composed).otherwise(text)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def squeeze(text: Column) -> Column:
-    """Unicode strip."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Unicode strip. Only texts that begin or end with white space are searched."""
+    edges = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+    return _let(text, lambda x: F.when(edges(x).rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")).otherwise(x))
 
 
 def _cleaned(text: Column) -> Column:
@@ -51,13 +59,13 @@ def normalize(text: Column) -> Column:
 
     Texts without a character that any of the steps before the last can change skip these steps.
     """
-    return squeeze(F.regexp_replace(_cleaned(text), "  +", " "))
+    return squeeze(_let(_cleaned(text), lambda x: F.when(x.contains("  "), F.regexp_replace(x, "  +", " ")).otherwise(x)))
 
 
 def sentences(text: Column) -> Column:
     """Array of sentences: split at white space behind ``.``, ``!`` or ``?``; terminators stay, blanks go."""
-    flat = squeeze(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.filter(F.split(flat, r"(?<=[.!?])\s+", -1), lambda s: s != "")
+    flat = squeeze(F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " "))  # single blanks stay
+    return F.array_remove(F.split(flat, r" (?<=[.!?] )", -1), "")
 
 
 def tokens(text: Column, remove_stopwords: bool = False, keep_punctuation: bool = True, profile: str = "gbagyi") -> Column:
@@ -75,7 +83,7 @@ def tokens(text: Column, remove_stopwords: bool = False, keep_punctuation: bool
         words = NUPE
     else:
         pattern = r"[\p{L}\-]+" + (r'|[.,;:!?()\[\]{}"]' if keep_punctuation else "")
-        found = F.filter(F.regexp_extract_all(F.lower(_cleaned(text)), F.lit(pattern), F.lit(0)), lambda t: t != "-")
+        found = F.array_remove(F.regexp_extract_all(F.lower(_cleaned(text)), F.lit(pattern), F.lit(0)), "-")
         words = STOP_WORDS[profile]
     if remove_stopwords:
         stop = list(dict.fromkeys(words))
