@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,18 @@ def test_pages_are_parsed_once_for_their_records(spark):
     raw = spark.range(40).repartition(4).select(F.col("id").alias("ord"), F.lit("u").alias("url"), fetch("id").alias("html"))
     assert pages.records(pages.extract(raw), date="2026-01-01").count() == 40
     assert seen.value == 40
+
+
+def test_plain_pages_have_the_tree_of_the_full_parser():
+    def dump(node):
+        return node if isinstance(node, str) else (node.tag, node.attrs, [dump(c) for c in node.children])
+
+    plain = ['<div class="a B">', "<p>", "<P  ID=\"x\" class=\"y\" >", "</p>", "</DIV>", "<br>", "<br/>", '<i data-usfm="1" class="c" class="d" />', "text", "a &amp; b &lt", " &copy ", "\n", "&", "&am", "</b>", "<b>"]
+    odd = ["<!-- no -->", "<script>", "</script>", "<a b=c>", "<a b='c'>", '<a b="&amp;">', "<", "< p>", "</ p>", "<a b>", "<!doctype x>", "<?x?>", '<a b="c"d="e">', "<title>", "<a", '<p x="', "<é>", "<p\u00a0a=\"b\">", "</p x>", "<p/ a=\"b\">"]
+    rng, quick = random.Random(11), 0
+    for k in range(6000):
+        page = "".join(rng.choices(plain + odd * (k % 2), k=rng.randint(0, 12)))
+        quick += (got := html._parse_plain(page)) is not None
+        assert got is None or dump(got) == dump(html._parse_any(page)), page
+    assert 3000 <= quick < 6000
+    assert html._parse_plain("".join(plain)) is not None and not any(html._parse_plain(x) for x in odd if x != "</script>")
