@@ -110,3 +110,9 @@ def test_a_corpus_is_checked_in_one_pass(spark, tmp_path):
     lines = spark.createDataFrame([(v,) for v in ["a  b", " a\t", "", "a b"]], "value string").withColumn("line_no", F.lit(1))
     found = lines.where("value <> ''").agg(F.sum(F.size(validate.line_problems(F.col("value"))))).first()[0]
     assert found == validate.corpus_format(lines).count() == 4  # two spaces; one space ahead, which leaves an empty piece, and a tab
+
+
+def test_counts_of_a_million_keep_all_their_digits(spark):
+    one = spark.createDataFrame([(1, ".", 1_993_243), (2, "a token of over 14", 7)], "rank long, token string, freq long")
+    got = one.orderBy("rank").select(sinks.fixed_width(("rank", "%5d"), ("token", 14), ("freq", "%,8d"))).collect()
+    assert [r.line for r in got] == [f"{1:>5} {'.':<14} {1_993_243:>8,}", f"{2:>5} {'a token of over 14':<14} {7:>8,}"]
